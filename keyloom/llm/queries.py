@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import dartminhash, decontam, feistel, mixing, rulefit, tokenbin, topk
+from keyloom.llm import dartminhash, decontam, feistel, mixing, pii, rulefit, secretscan, tokenbin, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard_rows(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_mix_sources, op5_feistel_shards, op6_rule_quality, op7_dart_minhash, op8_decontaminate, op10_token_binary)}
+    return {f.__name__: f for f in (op1_topk_search, op2_mix_sources, op3_contextual_pii, op4_secret_ownership, op5_feistel_shards, op6_rule_quality, op7_dart_minhash, op8_decontaminate, op10_token_binary)}
 
 
 def oracle_sql() -> dict[str, str]:
