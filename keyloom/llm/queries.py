@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import dartminhash, decontam, feistel, mixing, pii, rulefit, secretscan, tokenbin, topk
+from keyloom.llm import dartminhash, decontam, feistel, linerun, mixing, pii, rulefit, secretscan, tokenbin, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +45,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerun.repeated_runs(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_binary(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_mix_sources, op3_contextual_pii, op4_secret_ownership, op5_feistel_shards, op6_rule_quality, op7_dart_minhash, op8_decontaminate, op10_token_binary)}
+    return {f.__name__: f for f in (op1_topk_search, op2_mix_sources, op3_contextual_pii, op4_secret_ownership, op5_feistel_shards, op6_rule_quality, op7_dart_minhash, op8_decontaminate, op9_line_runs, op10_token_binary)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.ORACLE, "op2_mix_sources": mixing.ORACLE}
+    return {"op1_topk_search": topk.ORACLE, "op2_mix_sources": mixing.ORACLE, "op9_line_runs": linerun.ORACLE}
