@@ -14,12 +14,13 @@ or run twice leaves one whole shard.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,13 @@ from keyloom.llm.common import scratch_path, text_of
 
 END_ID = 2
 #: Characters of text encoded at once; a longer text is a batch of its own.
-BATCH_CHARS = 24_000_000
-#: Distinct words that a task remembers; beyond that it starts anew.
+BATCH_CHARS = 6_000_000
+#: Distinct pieces that a task remembers; beyond that it starts anew.
 MEMORY = 1_500_000
+#: Pieces without apostrophes and of Latin letters, digits and marks only; and their parts.
+PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+PROBE_PARTS = ["abc", "Abc,d", "12", "x9!!", "\u00c9t\u00e9.", "a$$$", "--", "u.34@mail7.example.com", "_a_1", "\u00dcber-\u00df", "(a)[b]{c}", "#&*/\\\"<>^`|~"]
 
 
 def tokenizer_path() -> str:
@@ -43,22 +48,54 @@ def tokenizer_path() -> str:
 class Encoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    Where the tokenizer's pre-tokenizer never joins what white space parts
-    (tried when it is opened), texts are split at spaces and line ends and each
-    distinct piece is encoded by the library once.
+    Where the tokenizer's pre-tokenizer never joins what white space parts,
+    texts are split at spaces and line ends and each distinct piece is encoded
+    once; where it parts letters, digits and marks too, plain pieces (Latin
+    letters, digits, marks, no apostrophe) are put together from those, each
+    of which goes straight to the library's model.  Both are tried out on
+    samples when the tokenizer is opened; a tokenizer that differs on any gets
+    whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
         self.width = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 2**16 else "<u4")
-        probe = ["ab cd", "ab  cd\nef", " ab, c.d 12 ", "don't  stop\n\n", "é ü\tx", "<|endoftext|> a"]
-        self.by_piece = all(self.whole(t).tolist() == [i for p in t.replace("\n", " ").split(" ") for i in self.whole(p).tolist()] for t in probe)
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        self.letters, self.by_part = _byte_letters(), True
+        self._forget()
+        probe = ["ab cd", "ab  cd\nef", " ab, c.d 12 ", "don't  stop\n\n", "\u00e9 \u00fc\tx", "<|endoftext|> a"]
+        self.by_piece = all(self.whole(t) == [i for p in t.replace("\n", " ").split(" ") for i in self.whole(p)] for t in probe)
+        self.by_part = self.by_piece and all(self.whole(t) == self._plain(t) for t in PROBE_PARTS)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _plain(self, piece: str) -> list[int]:
+        parts = PARTS.findall(piece.lower())
+        if len(parts) == 1 and parts[0] == piece:
+            return [t.id for t in self.library.model.tokenize(piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode()))]
+        out: list[int] = []
+        for p in parts:
+            i = self.at(p)
+            out += self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+        return out
+
+    def at(self, piece: str) -> int:
+        """Number of a piece among those remembered."""
+        i = self.index.get(piece)
+        if i is None:
+            ids = self._plain(piece) if self.by_part and PLAIN.fullmatch(piece) and "<|" not in piece else self.whole(piece)
+            i = self.index[piece] = len(self.starts)
+            self.starts.append(len(self.flat))
+            self.sizes.append(len(ids))
+            self.flat.extend(ids)
+        return i
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of each text."""
@@ -68,29 +105,28 @@ class Encoder:
         pieces = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         counts = pc.list_value_length(pieces).to_numpy().astype(np.int64)
         coded = pc.list_flatten(pieces).dictionary_encode()
-        codes = coded.indices.to_numpy()
+        del pieces
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, words
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
-        ids = [self.known[w] for w in words]
-        if len(self.known) > MEMORY:
-            self.known = {}
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[codes]
+        if len(self.index) + len(words) > MEMORY:
+            self._forget()
+        nr = np.fromiter(map(self.at, words), dtype=np.int64, count=len(words))
+        at = nr[coded.indices.to_numpy()]
+        n = np.array(self.sizes, dtype=np.int64)[at]
+        starts = np.array(self.starts, dtype=np.int64)[at]
         total = np.cumsum(n)
-        out = flat[np.repeat(starts[codes] - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
+        out = np.array(self.flat, dtype=np.uint32)[np.repeat(starts - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
         edges = np.concatenate([[0], total])
         ends = np.cumsum(counts)
         return out, edges[ends] - edges[ends - counts]
 
 
+def _byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it prints, else the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 def _files(uri: str):
     """File system and path of a URI or plain path; local, HDFS or an object store."""
     from pyarrow import fs
@@ -132,7 +168,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    parts = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # few large shards: what a task has learnt of its words serves more text
+    parts = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, spark.sparkContext.defaultParallelism)
     ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
