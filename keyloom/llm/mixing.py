@@ -58,7 +58,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, targe
         sized = sizes.join(F.broadcast(given), "_key", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     total = sized.agg(F.sum("n_rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
     rows = F.col("all_rows").cast("double") if target_rows is None else F.lit(float(target_rows))
-    rate = F.col("weight") / F.col("all_weight") * rows / F.col("n_rows")
+    rate = F.try_divide(F.col("weight"), F.col("all_weight")) * rows / F.col("n_rows")
     return sized.join(F.broadcast(total)).select("_key", "n_rows", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
