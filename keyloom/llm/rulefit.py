@@ -164,14 +164,14 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = SEED) -> R
     mean, sd = r.mean(axis=0), r.std(axis=0) + 1e-6
     z = ((r - mean) / sd).astype(np.float64)
     held = rng.random(len(y)) < 0.2
-    w, b, best = np.zeros(len(rules)), bias, (np.inf, 0.0)
+    w, b, losses = np.zeros(len(rules)), bias, []
     for strength in (0.03, 0.015, 0.008, 0.004, 0.002, 0.001):  # warm starts down the path
         w, b = _lasso(z[~held], y[~held], strength, w, b, 120)
         q = np.clip(1 / (1 + np.exp(-(z[held] @ w + b))), 1e-6, 1 - 1e-6)
-        loss = float(-(y[held] * np.log(q) + (1 - y[held]) * np.log(1 - q)).mean())
-        if loss < best[0] - 1e-4:
-            best = (loss, strength)
-    w, b = _lasso(z, y, best[1] or 0.01, np.zeros(len(rules)), bias, 400)
+        losses.append((float(-(y[held] * np.log(q) + (1 - y[held]) * np.log(1 - q)).mean()) if held.any() else 0.0, strength))
+    # the strongest penalty that loses next to nothing against the best: fewest rules
+    enough = min(x for x, _ in losses) * 1.05 + 0.005
+    w, b = _lasso(z, y, next(s for x, s in losses if x <= enough), np.zeros(len(rules)), bias, 400)
     keep = np.flatnonzero(np.abs(w) > 1e-4)
     named = [Rule(tuple((names[c], above, float(cut)) for c, above, cut in rules[j]), float(w[j] / sd[j])) for j in keep]
     return RuleModel(float(b - (w[keep] * mean[keep] / sd[keep]).sum()), named)
