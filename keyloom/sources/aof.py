@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ from keyloom.sources import files
 # Fixed values of the format; numbers are little-endian.
 MAGIC = bytes.fromhex("43 52 55 43 41 4F 46 00")
 VERSION = 1
-HEADER, RECORD = struct.Struct("<8sII"), struct.Struct("<BIIIQQI")
+HEADER, RECORD = files.Layout("<8sII"), files.Layout("<BIIIQQI")
 SET, DEL, EXPIRE = 1, 2, 3
 
 

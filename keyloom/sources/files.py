@@ -3,9 +3,26 @@
 from __future__ import annotations
 
 import posixpath
+import struct
 import uuid
 
 
+class Layout:
+    """A fixed binary layout that, unlike ``struct.Struct``, can be pickled."""
+
+    def __init__(self, form: str) -> None:
+        self.form, self.size = form, struct.calcsize(form)
+
+    def pack(self, *values) -> bytes:
+        return struct.pack(self.form, *values)
+
+    def unpack(self, data: bytes) -> tuple:
+        return struct.unpack(self.form, data)
+
+    def unpack_from(self, data: bytes, at: int = 0) -> tuple:
+        return struct.unpack_from(self.form, data, at)
+
+
 def open_store(uri: str):
     """pyarrow file system and path."""
     from pyarrow import fs

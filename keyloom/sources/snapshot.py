@@ -6,7 +6,6 @@ block headers and decode blocks in parallel; writers rename whole files.
 
 from __future__ import annotations
 
-import struct
 import tempfile
 import uuid
 import zlib
@@ -26,7 +25,7 @@ from keyloom.sources import files
 MAGIC = bytes.fromhex("43 52 55 43 49 42 4C 00")
 VERSION, LZ4, FLAG_CAS = 2, 1, 1
 TAG = bytes.fromhex("43 52 55 43")
-HEADER, BLOCK, RECORD = struct.Struct("<8sIIQI"), struct.Struct("<4sIII"), struct.Struct("<IIQIQ")
+HEADER, BLOCK, RECORD = files.Layout("<8sIIQI"), files.Layout("<4sIII"), files.Layout("<IIQIQ")
 BLOCK_SIZE = 1024 * 1024
 
 
