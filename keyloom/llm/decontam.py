@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 First pass: over all documents, in how many documents each n-gram of the test
-items stands.  Of every few consecutive n-grams of an item the rarest becomes
-a seed, so any unbroken run of a few words of an item holds one, however
-common the passage has become.  Second pass: seeds found in a document name
+items stands.  Rare ones become seeds, and of every few consecutive n-grams of
+an item the rarest does in any case, so any unbroken run of a few words of an
+item holds a seed, however common the passage has become.  Second pass: seeds found in a document name
 the items and the diagonals to look at; each such passage is aligned with the
 item word by word, insertions, deletions and changes allowed.
 
@@ -25,7 +25,9 @@ from keyloom.llm.common import fresh, text_of
 from keyloom.llm.words import rolled, words
 
 NGRAM = 3
-#: One seed at least in every so many consecutive n-grams of an item.
+#: An n-gram is rare in so many documents at most, or this share of all.
+RARE, RARE_SHARE = 20, 1e-4
+#: And one seed at least in every so many consecutive n-grams of an item, rare or not.
 SPAN = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score from which a passage counts as a copy of the item.
@@ -185,22 +187,27 @@ def _seeds(docs: DataFrame, items: Items, text_col: str) -> tuple[np.ndarray, np
     finder = Finder(grams)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(finder.sorted), np.int64)
+        seen, rows = np.zeros(len(finder.sorted), np.int64), 0
         for b in batches:
+            rows += len(b)
             for _, h, edges in _texts(b.column(0)):
                 _, doc, nr = _runs(h, edges, finder)
                 each = np.unique(doc.astype(np.int64) * len(seen) + nr)
                 seen += np.bincount(each % max(1, len(seen)), minlength=len(seen))
         found = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(seen[found], pa.int64())], ["gram", "n"])
+        # the number of documents goes as an n-gram of its own
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int64()), pa.array([rows, *seen[found]], pa.int64())], ["gram", "n"])
 
-    df = np.zeros(len(finder.sorted), np.int64)
+    df, total = np.zeros(len(finder.sorted), np.int64), 0
     if len(df):
         counted = docs.select(text_of(text_col).alias("t")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         for g, n in counted.collect():  # the n-grams of a block
-            df[g] = n
+            if g < 0:
+                total = n
+            else:
+                df[g] = n
     mine = df[np.searchsorted(finder.sorted, grams)] if len(grams) else np.zeros(0, np.int64)
-    keep = np.zeros(len(grams), bool)
+    keep = mine <= max(RARE, RARE_SHARE * total)
     bounds = np.searchsorted(item, np.arange(len(items.ids) + 1))
     for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         for i in range(a, max(a + 1, z - SPAN + 1)) if z > a else ():
