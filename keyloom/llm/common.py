@@ -46,16 +46,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete the files of a table made by :func:`materialize`, once nothing reads it any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all scratch files below the shared folder, when results that read them have been written."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/keyloom")
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_of(col: str | Column = "text") -> Column:

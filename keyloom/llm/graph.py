@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize
+from keyloom.llm.common import drop_table, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
         small = small.select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).filter("lo <> hi").distinct()
-        edges = materialize(small, "edges")
+        old, edges = edges, materialize(small, "edges")
+        drop_table(old)
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0))).first()
         if before == now:
             break

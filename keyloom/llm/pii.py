@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize, text_of
+from keyloom.llm.common import drop_table, materialize, text_of
 from keyloom.llm.spans import apart, joined, spans, tagged, when_has
 
 # The kinds in their order, and their patterns (possessive where that changes no match, so that
@@ -127,7 +127,8 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDEN
         strong = materialize(means.filter((top >= support) & (top / F.col("n") >= confidence)).select("pattern", *(F.when(F.col(k) / F.col("n") >= confidence, F.col(k) / F.col("n")).otherwise(0.0).alias(k) for k in KINDS)), "strong")
         doubt = edges.select("pattern", "value", *(F.col(k).alias(f"_{k}") for k in KINDS)).join(strong, "pattern", "left").groupBy("value").agg(
             *(F.greatest(F.max(f"_{k}").cast("double"), F.round(1 - F.exp(F.sum(F.ln(F.greatest(F.lit(1e-9), 1 - F.coalesce(k, F.lit(0.0)))))), 6)).alias(k) for k in KINDS))
-        scores = materialize(doubt, "scores")
+        old, scores = scores, materialize(doubt, "scores")
+        drop_table(old)
     best = reduce(lambda a, k: F.when(F.col(f"s.{k}") == F.greatest(*(F.col(f"s.{x}") for x in KINDS)), F.lit(k)).otherwise(a), reversed(KINDS), F.lit(None).cast("string"))
     new = places.filter("free").filter(F.length("value").between(LEAST, MOST)).select("doc_id", "_h", "start", "end", F.explode("patterns").alias("pattern")).join(strong.select("pattern", F.struct(*KINDS).alias("s")), "pattern")
     new = new.select("doc_id", "_h", "start", "end", best.alias("kind")).distinct()
