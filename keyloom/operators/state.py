@@ -130,6 +130,19 @@ class CacheTable:
         """Bytes of all entries."""
         return self.state.agg(F.coalesce(F.sum(E.entry_mem_size("key", "value", "expires_ns", "flags", self.config.usecas)), F.lit(0)).cast("bigint").alias("bytes"))
 
+    def buckets(self, load_factor: int = 75, first: int = 64) -> DataFrame:
+        """shard, count, nbuckets: the slots of a table that doubles when it is ``load_factor`` percent full and was never shrunk."""
+        n, slots = F.col("count"), F.when(F.col("count") <= int(first * load_factor / 100), F.lit(first).cast("bigint"))
+        for power in range(1, 40):  # the least power of two that holds the rows
+            slots = slots.when(n <= int(first * 2**power * load_factor / 100), F.lit(first * 2**power).cast("bigint"))
+        return self.count_by_shard().select("shard", "count", slots.alias("nbuckets"))
+
+    def whole_size(self, shard_bytes: int = 0, load_factor: int = 75, first: int = 64) -> DataFrame:
+        """Bytes of all entries, of ten a slot, and of ``shard_bytes`` a shard; shards without rows have their first slots."""
+        used = self.buckets(load_factor, first).agg(F.coalesce(F.sum("nbuckets"), F.lit(0)).alias("slots"), F.count(F.lit(1)).alias("shards"))
+        idle = (F.lit(self.config.nshards) - F.col("shards")) * first
+        return self.size().join(used).select((F.col("bytes") + (F.col("slots") + idle) * 10 + shard_bytes * self.config.nshards).cast("bigint").alias("bytes"))
+
     # --- scans ------------------------------------------------------------
     def iterate(self, now: int, shard: int | None = None) -> DataFrame:
         """Live rows; of one shard if named.  No order."""

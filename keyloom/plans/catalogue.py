@@ -16,7 +16,7 @@ from keyloom.operators.state import CacheTable
 from keyloom.plans import inputs as I
 from keyloom.plans import replay as R
 from keyloom.schema import CacheConfig
-from keyloom.sources import wire
+from keyloom.sources import serve, wire
 
 NOW, NS, LOG_NOW, N = I.NOW, I.NS, I.LOG_NOW, I.NSHARDS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +176,16 @@ def size_entries(s, d):
     return _kv(s, d).size()
 
 
+@query(f"WITH {I.KV}, c AS (SELECT {SHARD} AS shard, count(*) AS count FROM kv GROUP BY 1) SELECT shard, count, (CASE WHEN count <= 48 THEN 64 ELSE 64 * 2 ** ceil(log2(ceil(count / 0.75) / 64)) END)::BIGINT AS nbuckets FROM c")
+def shard_buckets(s, d):
+    return _kv(s, d).buckets()
+
+
+@query(f"WITH {I.KV}, c AS (SELECT {SHARD} AS shard, count(*) AS count FROM kv GROUP BY 1), b AS (SELECT sum(CASE WHEN count <= 48 THEN 64 ELSE 64 * 2 ** ceil(log2(ceil(count / 0.75) / 64)) END)::BIGINT AS n, count(*) AS k FROM c), z AS (SELECT sum({SIZE})::BIGINT AS bytes FROM kv) SELECT bytes + (n + ({N} - k) * 64) * 10 + 96 * {N} AS bytes FROM b, z")
+def size_whole(s, d):
+    return _kv(s, d).whole_size(shard_bytes=96)
+
+
 def _stats(s, d):
     return X.snapshot(_kv(s, d), I.log(s, d), 90_000, 30_000)
 
@@ -403,6 +413,26 @@ def monitor_lines(s, d):
     return X.monitor_lines(log.select("seq", "t_ns", F.concat(F.lit("10.0.0."), (F.col("seq") % 250).cast("string"), F.lit(":6379")).alias("client"), args.alias("args")))
 
 
+BULK = "CASE WHEN reply LIKE '$%' AND reply <> '$-1' THEN '$' || strlen(reply[2:]) || chr(13) || chr(10) || reply[2:] ELSE reply END || chr(13) || chr(10)"
+
+
+@query(f"WITH RECURSIVE {I.LOG}, {I.REPLAY} SELECT seq, {BULK} AS reply FROM f WHERE rn > 0")
+def resp_session(s, d):
+    log = I.log(s, d)
+    # an expire of 0 seconds cannot be told from none in the log's words, so words are written out here
+    data = log.select("seq", "t_ns", wire.resp_bytes(F.when(F.col("op") == "EXPIRE", F.array(F.col("op"), F.col("key"), F.call_function("div", F.col("ttl_ns"), F.lit(NS)).cast("string"))).otherwise(wire.resp_args())).alias("data"), "flags")
+    out = serve.resp_session(data)
+    return out.select("seq", F.col("reply").cast("string").alias("reply"))
+
+
+HTTP_LOG = I.LOG.replace("log AS (", "log0 AS (") + """, log AS (SELECT seq, t_ns, CASE op WHEN 'GET' THEN 'GET' WHEN 'DEL' THEN 'DEL' ELSE 'SET' END AS op, key, coalesce(value, op) AS value, false AS nx, op NOT IN ('GET', 'DEL', 'SET') AS xx, 0::BIGINT AS ttl_ns, 0::BIGINT AS flags FROM log0)"""
+
+
+@query(f"WITH RECURSIVE {HTTP_LOG}, {I.REPLAY} SELECT seq, CASE result WHEN 'Hit' THEN 200 WHEN 'Replaced' THEN 200 WHEN 'Deleted' THEN 200 WHEN 'Inserted' THEN 201 WHEN 'Found' THEN 409 ELSE 404 END AS status, CASE WHEN result = 'Hit' THEN reply[2:] ELSE '' END AS body FROM f WHERE rn > 0")
+def http_session(s, d):
+    return serve.http_session(I.log(s, d).select("seq", "t_ns", wire.http_bytes().alias("data"))).select("seq", "status", "body")
+
+
 # --- persistence ----------------------------------------------------------
 AOF_STATE = f"""l AS (SELECT * FROM aof WHERE NOT (kind = 1 AND expire_unix_ns > 0 AND expire_unix_ns <= {LOG_NOW})), t AS (SELECT *, CASE WHEN kind = 1 THEN 's' WHEN kind = 2 OR expire_unix_ns = 0 OR expire_unix_ns <= {LOG_NOW} THEN 'd' ELSE 'x' END AS d FROM l),
 z AS (SELECT key, pos, d, value, flags, expire_unix_ns AS e, row_number() OVER (PARTITION BY key ORDER BY pos DESC) AS rn FROM t WHERE d <> 'x'),
