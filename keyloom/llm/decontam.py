@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,19 +77,14 @@ class Finder:
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row offset, word hashes and edges of groups of texts."""
+    """Row offset, word hashes and edges of groups of texts of about BATCH_CHARS bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) if len(column) else []
     a = 0
-    sizes = np.asarray([len(t.as_py() or "") for t in column]) if len(column) < 64 else None
-    ends = np.cumsum(sizes) if sizes is not None else None
     while a < len(column):
-        if ends is None:
-            z = a + 512
-        else:
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_CHARS, side="right")))
-        part = column.slice(a, z - a)
-        h, edges, _ = words(part)
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_CHARS, side="right")))
+        h, edges, _ = words(column.slice(a, z - a))
         yield a, h, edges
-        a += len(part)
+        a = z
 
 
 def _runs(h: np.ndarray, edges: np.ndarray, finder: Finder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
