@@ -9,11 +9,12 @@ signature costs the larger of the number of elements and of darts, instead of
 elements times coordinates.  Bands of coordinates are the join keys.
 
 Texts alike in their words are first made one.  In each band bucket texts are
-compared with one leader, links found exact by their shingle sets; where a
-bucket then still holds more than one component, every text outside its
-largest component is compared with all others of the bucket, so no link
-between bucket mates is lost, and a large group of copies costs as many
-comparisons as it has members.
+compared with one leader, exactly, by their shingle sets; where a bucket then
+still holds more than one component, every text outside its largest component
+is compared with all others of the bucket that it can be like at all: a text
+shares with another at most those of its shingles that any other has.  So no
+link between bucket mates is lost, and a large group of copies costs about as
+many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Texts are taken in groups of about so many characters.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: A pair whose signatures agree in a smaller share of coordinates is not compared exactly; 6 deviations below the threshold.
 SKETCH_LEAST = 0.58
-CELLS = 2_000_000
+CELLS = 1_000_000
 EMPTY = np.uint64(2**64 - 1)
 FRACTION = 30
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
@@ -190,25 +191,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = materialize(signed.groupBy("key").agg(F.min(ordered).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.filter(F.col("bands").isNotNull()).select("key", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("_last")).filter("leader < _last").drop("_last")
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialize(banded.join(buckets, "band"), "members")
+    # the leader of a bucket is its member with most bucket mates over all bands: of a group of copies, the least edited
+    known = members.groupBy("key").agg(F.sum("size").alias("known"))
+    leaders = members.join(known, "key").groupBy("band").agg(F.max(F.struct("known", "key")).alias("l")).select("band", F.col("l.key").alias("leader"))
     sets = _sets(rows, nodes, members)
 
     def of(keys: DataFrame, comp: DataFrame, name: str, out: str) -> DataFrame:
         c = comp.select(F.col("node").alias(name), F.col("component").alias("_c"))
         return keys.join(c, name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
 
-    stars = members.filter("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
-    links = materialize(_verify(stars, sets, False), "links")
+    stars = members.join(leaders, "band").filter("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+    links = materialize(_verify(stars, sets, True), "links")
     comp = components(links)
-    # buckets that still hold more than one component: those outside the largest meet all the others
+    # buckets that still hold more than one component: those outside the largest meet all the others that they can be like
     held = of(members.select("band", "key"), comp, "key", "c")
     sizes = held.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
     most = sizes.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("band", F.col("top.c").alias("main"))
     mixed = materialize(held.join(most, "band"), "mixed")
-    x = mixed.filter("c <> main").select("band", F.col("key").alias("a"), F.col("c").alias("ca"))
-    y = mixed.select("band", F.col("key").alias("b"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"))
-    cross = x.join(y, "band").filter("ca <> cb AND (in_main OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    able = _able(sets, mixed.select("key").distinct())
+    mixed = mixed.join(able, "key")
+    x = mixed.filter("c <> main").select("band", F.col("key").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("shared").alias("ha"))
+    y = mixed.select("band", F.col("key").alias("b"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"), F.col("size").alias("sb"), F.col("shared").alias("hb"))
+    # neither text can share more with the other than it shares with any
+    could = F.least("ha", "hb") + 1e-9 >= THRESHOLD / (1 + THRESHOLD) * (F.col("sa") + F.col("sb"))
+    # what the smallest of a bucket rules out needs no pairing
+    least = mixed.groupBy("band").agg(F.min("size").alias("smallest"))
+    x = x.join(least, "band").filter(F.col("ha") + 1e-9 >= THRESHOLD / (1 + THRESHOLD) * (F.col("sa") + F.col("smallest")))
+    cross = x.join(y, "band").filter("ca <> cb AND (in_main OR a < b)").filter(could).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = materialize(_verify(cross, sets, True), "links")
     comp = materialize(components(links.unionByName(more)), "components") if not more.isEmpty() else comp
     classed = of(nodes.select("key", "first", "n"), comp, "key", "c")
@@ -237,6 +248,28 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return kept.drop(h)
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column(1)]
+        ids = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
+        flat = np.concatenate([*found, np.zeros(0, "<i8")])
+        for a in range(0, len(flat), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 200_000]), pa.array(flat[a : a + 200_000])], ["id", "shingle"])
+
+
+def _able(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, size, shared: of the texts that may reach the threshold with another of ``keys``, their shingles and how many stand in another one too.
+
+    A shingle that no other text has is common to no pair, so a text can share no more than the rest.
+    """
+    mine = sets.join(keys, "key", "left_semi").select("key", F.xxhash64("key").alias("id"), "shingles")
+    alone = mine.select("id", "shingles").mapInArrow(_explode, "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    size = F.call_function("div", F.octet_length("shingles"), F.lit(8))
+    out = mine.select("key", "id", size.alias("size")).join(alone, "id", "left").select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return materialize(out.filter(F.col("shared") + 1e-9 >= THRESHOLD * F.col("size")), "able")
+
+
 def _sets(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """key, sketch, shingles of the texts that have bucket mates."""
     wanted = materialize(nodes.select("key", F.col("first.doc_id").alias("first")).join(members.select("key").distinct(), "key"), "wanted")
