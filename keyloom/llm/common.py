@@ -67,6 +67,24 @@ def clean_up(spark: SparkSession) -> None:
     at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def lean() -> None:
+    """In a Python worker: Arrow's memory comes from the system's allocator, and what is free goes back to the system.
+
+    Workers serve task after task beside a large heap, and would keep what their largest task took.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, null taken as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import fresh, text_of
+from keyloom.llm.common import fresh, lean, text_of
 from keyloom.llm.words import rolled, words
 
 NGRAM = 3
@@ -183,6 +183,7 @@ def _seeds(docs: DataFrame, items: Items, text_col: str) -> tuple[np.ndarray, np
     finder = Finder(grams)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         seen, rows = np.zeros(len(finder.sorted), np.int64), 0
         for b in batches:
             rows += len(b)
@@ -227,6 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         def scan(batches: Iterator[pa.RecordBatch], m: Matcher = m) -> Iterator[pa.RecordBatch]:
             for b in batches:
+                lean()
                 ids = b.column(0).to_pylist()
                 for a, h, edges in _texts(b.column(1)):
                     hits = [(ids[a + d], m.items.ids[i], s, c) for d, i, s, c in m.matches(h, edges) if s >= threshold]
@@ -247,6 +249,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         def clean(batches: Iterator[pa.RecordBatch], m: Matcher = m) -> Iterator[pa.RecordBatch]:
             for b in batches:
+                lean()
                 keep = np.ones(len(b), bool)
                 for a, h, edges in _texts(b.column(len(b.schema) - 1)):
                     keep[[a + d for d, _, s, _ in m.matches(h, edges) if s >= threshold]] = False

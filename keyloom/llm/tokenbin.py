@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import scratch_path, text_of
+from keyloom.llm.common import lean, scratch_path, text_of
 
 END_ID = 2
-#: Characters of text encoded at once; a longer text is a batch of its own.
-BATCH_CHARS = 6_000_000
+#: Bytes of text encoded at once; a longer text is a batch of its own.
+BATCH_BYTES = 2_000_000
 #: Distinct pieces that a task remembers; beyond that it starts anew.
-MEMORY = 1_500_000
+MEMORY = 700_000
 #: Pieces without apostrophes and of Latin letters, digits and marks only; and their parts.
 PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
@@ -97,12 +97,12 @@ class Encoder:
             self.flat.extend(ids)
         return i
 
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of each text."""
         if not self.by_piece:
-            each = [np.asarray(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            each = [np.asarray(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(e) for e in each], dtype=np.int64)
-        pieces = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        pieces = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         counts = pc.list_value_length(pieces).to_numpy().astype(np.int64)
         coded = pc.list_flatten(pieces).dictionary_encode()
         del pieces
@@ -180,27 +180,19 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         docs_: list[np.ndarray] = []
-        nulls, held, chars = 0, [], 0
-
-        def flush() -> None:
-            nonlocal held, chars
-            if held:
-                flat, n = enc.texts(held)
-                ends = np.cumsum(n)
-                ids.append(np.insert(flat, ends, end_id).astype(enc.width))
-                counts.append(n + 1)
-                held, chars = [], 0
-
-        for b in batches:
-            d = b.column(0)
+        nulls = 0
+        lean()
+        for batch in batches:
+            d, t = batch.column(0), batch.column(1)
             nulls += d.null_count
             docs_.append(d.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            for t in b.column(1).to_pylist():
-                held.append(t)
-                chars += len(t)
-                if chars >= BATCH_CHARS:
-                    flush()
-        flush()
+            ends, a = np.cumsum(pc.binary_length(t).to_numpy(zero_copy_only=False)), 0
+            while a < len(t):
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_BYTES, side="right")))
+                flat, n = enc.texts(t.slice(a, z - a))
+                ids.append(np.insert(flat.astype(enc.width), np.cumsum(n), end_id))
+                counts.append(n + 1)
+                a = z
         if docs_:
             shard = TaskContext.get().partitionId()
             n = np.concatenate(counts)
@@ -212,6 +204,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(n)], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64()),
                 "n_null": pa.array([nulls], pa.int64()), "width": pa.array([enc.width.itemsize], pa.int32()), "path": [path]})
+        del enc, ids, counts, docs_
+        lean()
 
     made = ordered.select("doc_id", "text").mapInArrow(encode, "shard int, n_docs long, n_ids long, n_null long, width int, path string")
     table, base = [], 0

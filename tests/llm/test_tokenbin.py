@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def test_encoder_equals_the_library():
     enc = T.Encoder(T.tokenizer_path())
     assert enc.by_piece and enc.by_part
     texts = [t or "" for t in TEXTS]
-    ids, n = enc.texts(texts)
+    ids, n = enc.texts(pa.array(texts))
     at = np.cumsum(n) - n
     assert [ids[a : a + k].tolist() for a, k in zip(at, n)] == [enc.whole(t) for t in texts]
 
@@ -55,7 +56,7 @@ def test_another_tokenizer(spark, name):
 
     enc = T.Encoder(public_tokenizers.path(name))
     texts = ["Hello,  world\n it's", "", "x"]
-    ids, n = enc.texts(texts)
+    ids, n = enc.texts(pa.array(texts))
     assert ids.tolist() == [i for t in texts for i in enc.whole(t)] and n.tolist() == [len(enc.whole(t)) for t in texts]
 
 
