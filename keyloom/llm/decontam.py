@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-First pass: over all documents, in how many documents each n-gram of the test
-items stands.  Rare ones become seeds, and of every few consecutive n-grams of
-an item the rarest does in any case, so any unbroken run of a few words of an
-item holds a seed, however common the passage has become.  Second pass: seeds found in a document name
-the items and the diagonals to look at; each such passage is aligned with the
-item word by word, insertions, deletions and changes allowed.
+Every n-gram of a test item is a seed: seeds found in a document name the items
+and the diagonals to look at, and each such passage is aligned with the item
+word by word, insertions, deletions and changes allowed.  A first pass counts in
+how many documents each n-gram stands.  Passages with a seed that is rare, or
+the rarest of a few consecutive ones, are aligned at once; those with common
+seeds alone only where they hold words enough of the item to reach the
+threshold at all, so that no copy is lost by how common its words are.
 
 Items are handled in blocks of bounded size; a block travels with the tasks.
 Nothing of a document is shuffled.
@@ -28,7 +29,7 @@ from keyloom.llm.words import rolled, words
 NGRAM = 3
 #: An n-gram is rare in so many documents at most, or this share of all.
 RARE, RARE_SHARE = 20, 1e-4
-#: And one seed at least in every so many consecutive n-grams of an item, rare or not.
+#: And one at least in every so many consecutive n-grams of an item counts as rare.
 SPAN = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score from which a passage counts as a copy of the item.
@@ -38,6 +39,8 @@ BLOCK_CHARS = 16_000_000
 BATCH_CHARS = 4_000_000
 #: Cells of one round of alignment.
 CELLS = 1_000_000
+#: Pairs of a place in a text and one in an item that are handled at once; a document's own pairs stay together.
+PAIRS = 2_000_000
 TABLE = 1 << 20
 
 
@@ -128,42 +131,58 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
 
 
 class Matcher:
-    """Finds copies of items in texts."""
+    """Finds copies of items in texts; ``rare`` are the n-grams (hash, item, position) whose passages are aligned at once."""
 
-    def __init__(self, items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        grams, item, pos = seeds
+    def __init__(self, items: Items, rare: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        grams, item, pos = items.grams()
         self.items, self.finder = items, Finder(grams)
         order = np.argsort(grams, kind="stable")
         self.item, self.pos = item[order], pos[order]
+        self.rare = np.isin(items.edges[self.item] + self.pos, items.edges[rare[1]] + rare[2])
         self.first = np.searchsorted(grams[order], self.finder.sorted)
         self.count = np.diff(np.append(self.first, len(grams)))
 
-    def matches(self, h: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, float, int]]:
-        """(document, item, score, seeds found): the best passage of each document and item, of any score."""
+    def matches(self, h: np.ndarray, edges: np.ndarray, threshold: float = 0.0) -> list[tuple[int, int, float, int]]:
+        """(document, item, score, seeds found): the best passage of each document and item, of the threshold or more."""
         at, doc, nr = _runs(h, edges, self.finder)
+        total, a, out = np.cumsum(self.count[nr]), 0, []
+        while a < len(at):
+            z = int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right"))
+            if z < len(at):  # whole documents
+                z = int(np.searchsorted(doc, doc[z]))
+                z = z if z > a else int(np.searchsorted(doc, doc[a], side="right"))
+            out += self._matches(h, edges, at[a:z], doc[a:z], nr[a:z], threshold)
+            a = z
+        return out
+
+    def _matches(self, h: np.ndarray, edges: np.ndarray, at: np.ndarray, doc: np.ndarray, nr: np.ndarray, threshold: float) -> list[tuple[int, int, float, int]]:
         n = self.count[nr]
         src = np.repeat(np.arange(len(nr)), n)
         which = self.first[nr][src] + np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
         d, it, diag = doc[src], self.item[which], at[src] - self.pos[which]
         order = np.lexsort((diag, it, d))
-        d, it, diag = d[order], it[order], diag[order]
+        d, it, diag, rare = d[order], it[order], diag[order], self.rare[which][order]
         windows, items, who, i = [], [], [], 0
         sizes = np.diff(self.items.edges)
+        seeds: dict[tuple[int, int], int] = {}
         while i < len(d):
             size, z = int(sizes[it[i]]), i + 1
             while z < len(d) and d[z] == d[i] and it[z] == it[i] and diag[z] <= diag[i] + size:
                 z += 1
             pad = size // 4 + 4
             a, b = max(int(edges[d[i]]), int(diag[i]) - pad), min(int(edges[d[i] + 1]), int(diag[z - 1]) + size + pad)
-            windows.append(h[a:b])
-            items.append(self.items.words[self.items.edges[it[i]] : self.items.edges[it[i] + 1]])
-            who.append((int(d[i]), int(it[i]), z - i))
+            window, item, key = h[a:b], self.items.words[self.items.edges[it[i]] : self.items.edges[it[i] + 1]], (int(d[i]), int(it[i]))
+            seeds[key] = seeds.get(key, 0) + z - i
+            # no alignment matches more words than stand in the passage
+            if rare[i:z].any() or np.isin(item, window).sum() >= threshold * size - 1e-9:
+                windows.append(window)
+                items.append(item)
+                who.append(key)
             i = z
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for (x, y, seeds), s in zip(who, align(windows, items).tolist(), strict=True):
-            old = best.get((x, y), (0.0, 0))
-            best[x, y] = (max(old[0], s), old[1] + seeds)
-        return [(x, y, s, c) for (x, y), (s, c) in best.items()]
+        best: dict[tuple[int, int], float] = {}
+        for key, s in zip(who, align(windows, items).tolist(), strict=True):
+            best[key] = max(best.get(key, 0.0), s)
+        return [(x, y, s, seeds[x, y]) for (x, y), s in best.items() if s >= threshold]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -178,7 +197,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
 
 
 def _seeds(docs: DataFrame, items: Items, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, item and position of the seeds; document counts are over all documents."""
+    """Hash, item and position of the rare seeds; document counts are over all documents."""
     grams, item, pos = items.grams()
     finder = Finder(grams)
 
@@ -231,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 lean()
                 ids = b.column(0).to_pylist()
                 for a, h, edges in _texts(b.column(1)):
-                    hits = [(ids[a + d], m.items.ids[i], s, c) for d, i, s, c in m.matches(h, edges) if s >= threshold]
+                    hits = [(ids[a + d], m.items.ids[i], s, c) for d, i, s, c in m.matches(h, edges, threshold)]
                     if hits:
                         cols = list(zip(*hits, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "seeds"])
@@ -252,7 +271,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 lean()
                 keep = np.ones(len(b), bool)
                 for a, h, edges in _texts(b.column(len(b.schema) - 1)):
-                    keep[[a + d for d, _, s, _ in m.matches(h, edges) if s >= threshold]] = False
+                    keep[[a + d for d, _, _, _ in m.matches(h, edges, threshold)]] = False
                 yield b.select(range(len(b.schema) - 1)).filter(pa.array(keep))
 
         docs = docs.withColumn(t, text_of(text_col)).mapInArrow(clean, docs.schema)

@@ -84,6 +84,20 @@ def test_every_run_of_an_item_has_a_seed(spark, monkeypatch):
             assert at[0] < C.SPAN and last - at[-1] < C.SPAN and (np.diff(at) <= C.SPAN).all()
 
 
+def test_an_edited_copy_of_a_common_item(spark, monkeypatch):
+    item = [f"w{i}" for i in range(15)]
+    edited = list(item)
+    edited[2::5] = ["x", "y", "z"]  # four 3-grams are left; the copies make just these the most frequent
+    docs = [(i, " ".join(["before", *item, "after"]), "en", "s", 0) for i in range(30)] + [(100, " ".join(["before", *edited, "after"]), "en", "s", 0), (101, "w3 w4 w5 and nothing else of it " + "word " * 30, "en", "s", 0)]
+    docs, bench = spark.createDataFrame(docs, S), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for pairs in (None, 5):
+        if pairs:
+            monkeypatch.setattr(C, "PAIRS", pairs)
+        out = {r.doc_id: r for r in C.contaminated(docs, bench).collect()}
+        assert set(out) == {*range(30), 100} and out[100].score == 0.7 and out[100].seeds == 4
+        assert [r.doc_id for r in C.drop_contaminated(docs, bench).collect()] == [101]
+
+
 def test_odd_rows(spark):
     docs, bench, want = setup(spark, extra=[(None, None), (90, ""), (91, "two words"), (3, "of the and of")])
     odd = spark.createDataFrame([(None, None, None, None, None), (2000, "", "en", "s", 0), (2001, "word " * 60000, "en", "s", 0), (None, bench.filter("item_id = 5").first().text, "en", "s", 0)], S)
