@@ -7,6 +7,7 @@ how many documents each n-gram stands.  Passages with a seed that is rare, or
 the rarest of a few consecutive ones, are aligned at once; those with common
 seeds alone only where they hold words enough of the item to reach the
 threshold at all, so that no copy is lost by how common its words are.
+A long item's excerpt counts by its own length, not as a share of the item.
 
 Items are handled in blocks of bounded size; a block travels with the tasks.
 Nothing of a document is shuffled.
@@ -34,6 +35,8 @@ SPAN = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score from which a passage counts as a copy of the item.
 THRESHOLD = 0.45
+#: A passage with the score of so many unbroken words counts too, whatever the item's length.
+EXCERPT = 13
 #: Characters of test items in a block; more items take more blocks.
 BLOCK_CHARS = 16_000_000
 BATCH_CHARS = 4_000_000
@@ -142,20 +145,21 @@ class Matcher:
         self.first = np.searchsorted(grams[order], self.finder.sorted)
         self.count = np.diff(np.append(self.first, len(grams)))
 
-    def matches(self, h: np.ndarray, edges: np.ndarray, threshold: float = 0.0) -> list[tuple[int, int, float, int]]:
-        """(document, item, score, seeds found): the best passage of each document and item, of the threshold or more."""
+    def matches(self, h: np.ndarray, edges: np.ndarray, threshold: float = 0.0, excerpt: int = EXCERPT) -> list[tuple[int, int, float, int]]:
+        """(document, item, score, seeds found): the best passage of each document and item, of the threshold or as long as an excerpt."""
         at, doc, nr = _runs(h, edges, self.finder)
+        least = np.minimum(threshold, excerpt / np.maximum(1, np.diff(self.items.edges))) - 1e-9  # score that counts, by item
         total, a, out = np.cumsum(self.count[nr]), 0, []
         while a < len(at):
             z = int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right"))
             if z < len(at):  # whole documents
                 z = int(np.searchsorted(doc, doc[z]))
                 z = z if z > a else int(np.searchsorted(doc, doc[a], side="right"))
-            out += self._matches(h, edges, at[a:z], doc[a:z], nr[a:z], threshold)
+            out += self._matches(h, edges, at[a:z], doc[a:z], nr[a:z], least)
             a = z
         return out
 
-    def _matches(self, h: np.ndarray, edges: np.ndarray, at: np.ndarray, doc: np.ndarray, nr: np.ndarray, threshold: float) -> list[tuple[int, int, float, int]]:
+    def _matches(self, h: np.ndarray, edges: np.ndarray, at: np.ndarray, doc: np.ndarray, nr: np.ndarray, least: np.ndarray) -> list[tuple[int, int, float, int]]:
         n = self.count[nr]
         src = np.repeat(np.arange(len(nr)), n)
         which = self.first[nr][src] + np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
@@ -174,7 +178,7 @@ class Matcher:
             window, item, key = h[a:b], self.items.words[self.items.edges[it[i]] : self.items.edges[it[i] + 1]], (int(d[i]), int(it[i]))
             seeds[key] = seeds.get(key, 0) + z - i
             # no alignment matches more words than stand in the passage
-            if rare[i:z].any() or np.isin(item, window).sum() >= threshold * size - 1e-9:
+            if rare[i:z].any() or np.isin(item, window).sum() >= least[it[i]] * size:
                 windows.append(window)
                 items.append(item)
                 who.append(key)
@@ -182,7 +186,7 @@ class Matcher:
         best: dict[tuple[int, int], float] = {}
         for key, s in zip(who, align(windows, items).tolist(), strict=True):
             best[key] = max(best.get(key, 0.0), s)
-        return [(x, y, s, seeds[x, y]) for (x, y), s in best.items() if s >= threshold]
+        return [(x, y, s, seeds[x, y]) for (x, y), s in best.items() if s >= least[y]]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -233,9 +237,12 @@ def _seeds(docs: DataFrame, items: Items, text_col: str) -> tuple[np.ndarray, np
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                 item_col: str = "item_id", item_text_col: str = "text", excerpt: int = EXCERPT) -> DataFrame:
     """doc_id, item_id, score (0..1), seeds: documents with a passage that copies an item, edits allowed.
 
+    ``score`` is the share of the best score of the whole item; a passage counts
+    from ``threshold`` on, and one that copies a part of a long item from the
+    score of ``excerpt`` unbroken words on, whatever share that is.
     Words are compared in lower case without punctuation.  Null or empty texts
     have no passages; items of fewer than three words, null ones too, are not
     searched.  Null ids are given as they are.  Repeated rows and items each
@@ -250,7 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 lean()
                 ids = b.column(0).to_pylist()
                 for a, h, edges in _texts(b.column(1)):
-                    hits = [(ids[a + d], m.items.ids[i], s, c) for d, i, s, c in m.matches(h, edges, threshold)]
+                    hits = [(ids[a + d], m.items.ids[i], s, c) for d, i, s, c in m.matches(h, edges, threshold, excerpt)]
                     if hits:
                         cols = list(zip(*hits, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "seeds"])
@@ -260,8 +267,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a passage that copies an item, with all their columns."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", excerpt: int = EXCERPT) -> DataFrame:
+    """The rows of ``docs`` without a passage that copies an item or an excerpt of one, with all their columns."""
     for items in _blocks(benchmark, item_col, item_text_col):
         m = Matcher(items, _seeds(docs, items, text_col))
         t = fresh(docs, "_text")
@@ -271,7 +278,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 lean()
                 keep = np.ones(len(b), bool)
                 for a, h, edges in _texts(b.column(len(b.schema) - 1)):
-                    keep[[a + d for d, _, _, _ in m.matches(h, edges, threshold)]] = False
+                    keep[[a + d for d, _, _, _ in m.matches(h, edges, threshold, excerpt)]] = False
                 yield b.select(range(len(b.schema) - 1)).filter(pa.array(keep))
 
         docs = docs.withColumn(t, text_of(text_col)).mapInArrow(clean, docs.schema)

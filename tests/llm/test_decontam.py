@@ -98,6 +98,18 @@ def test_an_edited_copy_of_a_common_item(spark, monkeypatch):
         assert [r.doc_id for r in C.drop_contaminated(docs, bench).collect()] == [101]
 
 
+def test_excerpts_of_long_items(spark):
+    items = [[f"{k}w{i}" for i in range(n)] for k, n in ((0, 60), (1, 500), (2, 60))]
+    parts = [items[0][10:36], items[1][100:300], items[2][:13], items[2][:12]]
+    edited = list(items[1][100:300])
+    edited[::7] = ["edit"] * len(edited[::7])
+    docs = spark.createDataFrame([(i, " ".join([f"a{i}"] * 20 + p + [f"z{i}"] * 20), "en", "s", 0) for i, p in enumerate([*parts, edited])], S)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    out = {r.doc_id: (r.item_id, round(r.score, 2)) for r in C.contaminated(docs, bench).collect()}
+    assert out.pop(4)[0] == 1 and out == {0: (0, 0.43), 1: (1, 0.4), 2: (2, 0.22)}
+    assert [r.doc_id for r in C.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_odd_rows(spark):
     docs, bench, want = setup(spark, extra=[(None, None), (90, ""), (91, "two words"), (3, "of the and of")])
     odd = spark.createDataFrame([(None, None, None, None, None), (2000, "", "en", "s", 0), (2001, "word " * 60000, "en", "s", 0), (None, bench.filter("item_id = 5").first().text, "en", "s", 0)], S)
