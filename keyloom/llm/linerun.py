@@ -9,7 +9,7 @@ in words, from each line forward and from each line backward; an interval with
 two places is a repeated run, the places after its first are later copies, and
 what such copies cover, merged, are the maximal repeated runs that go.
 
-Names are 128-bit hashes, so doubling needs no sort and no shuffle: it runs
+Names are 128-bit hashes (two of 64 bits whose seeds differ before the text is read), so doubling needs no sort and no shuffle: it runs
 inside each document's row.  Only intervals are shuffled, by their names.
 DataFrame functions only.
 """
@@ -57,7 +57,7 @@ def intervals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id
     text = text_of(text_col)
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), _lines(text).alias("_l"))
     df = df.select("doc_id", "text_hash", F.size("_l").alias("n_lines"), F.transform("_l", lambda x: F.size(F.split(x["t"], r"\s+")).cast("bigint")).alias("_w"),
-                   F.transform("_l", lambda x: F.struct(F.xxhash64(x["t"], F.lit(1)).alias("a"), F.xxhash64(x["t"], F.lit(2)).alias("b"))).alias("_n0"))
+                   F.transform("_l", lambda x: F.struct(F.xxhash64(F.lit(1), x["t"]).alias("a"), F.xxhash64(F.lit(2), x["t"]).alias("b"))).alias("_n0"))
     df = df.withColumn("_c", running(F.col("_w")))
     top = _levels(min_words)
     for h in range(top):  # names of 2^(h+1) lines; null past the end

@@ -53,6 +53,14 @@ def test_texts_are_cut(spark):
     assert {r.doc_id: r.text for r in L.dedup_lines(df, min_words=30).collect()}[4] == ""
 
 
+def test_lines_that_collide_in_64_bits(spark):
+    x = "aaaaaaaaaaaaaaaa1HcJLVk3bbbbbbbbcccccccccccccccc3Ne0zXAOdddddddd"
+    y = "aaaaaaaaaaaaaaaa5i5hefY2bbbbbbbbcccccccccccccccclLrng2BMdddddddd"
+    df = spark.createDataFrame([(1, x, "en", "s", 0), (2, y, "en", "s", 0), (3, x, "en", "s", 0)], S)
+    assert x != y and df.select(F.xxhash64("text")).distinct().count() == 1
+    assert {r.doc_id: r.n_deleted for r in L.repeated_runs(df, min_words=1).collect()} == {1: 0, 2: 0, 3: 1}
+
+
 def test_odd_rows(spark):
     p = "many words " * 40
     rows = [(None, None), (None, p), (1, p), (1, p), (2, ""), (3, "\n\n"), (4, "l " * 100 + "\n" + "z\n" * 5000)]
