@@ -9,12 +9,17 @@ signature costs the larger of the number of elements and of darts, instead of
 elements times coordinates.  Bands of coordinates are the join keys.
 
 Texts alike in their words are first made one.  In each band bucket texts are
-compared with one leader, exactly, by their shingle sets; where a bucket then
-still holds more than one component, every text outside its largest component
-is compared with all others of the bucket that it can be like at all: a text
-shares with another at most those of its shingles that any other has.  So no
-link between bucket mates is lost, and a large group of copies costs about as
-many comparisons as it has members.
+compared with one leader, exactly, by their shingle sets.  Bucket mates that
+then are of different components still have to be told apart, without pairing
+them all.  Let E(x) be the edits of x, its shingles that the leader T lacks and
+those of T that x lacks.  Similarity 0.8 of x and y means that x and y differ in
+(|x| + |y|) / 9 shingles at most, hence share (|E(x)| + |E(y)| - (|x| + |y|) / 9) / 2
+of their edits; and where x is not like T, |E(x)| > (|x| + |T|) / 9, so that this is
+about half of E(y).  Edits are ordered, the rarest of the leader's group first,
+and two texts meet only at an edit among the first of both (a prefix filter),
+from which on enough edits are left to share.  Most edits of a copy are its own
+and meet nobody, so a large group of copies costs about as many comparisons as
+it has members and links; and no link between bucket mates is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import fresh, materialize
+from keyloom.llm.common import drop_table, fresh, lean, materialize
 from keyloom.llm.graph import components
 from keyloom.llm.words import STEP, mix, shingle_sets, words
 
@@ -35,10 +40,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Texts are taken in groups of about so many characters.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 #: A pair whose signatures agree in a smaller share of coordinates is not compared exactly; 6 deviations below the threshold.
 SKETCH_LEAST = 0.58
-CELLS = 1_000_000
+CELLS = 200_000
 EMPTY = np.uint64(2**64 - 1)
 FRACTION = 30
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
@@ -120,21 +125,38 @@ def _keys(h: np.ndarray, edges: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(raw[8 * a : 8 * z]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets_of(texts: pa.Array, by_count: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    h, edges, _ = words(texts)
+    sets = shingle_sets(h, edges, SHINGLE)
+    return h, edges, sets if by_count else [(s, np.ones(len(s), np.int64)) for s, _ in sets]
+
+
+def _sign(batches: Iterator[pa.RecordBatch], by_count: bool) -> Iterator[pa.RecordBatch]:
+    lean()
     for b in _batches(batches):
-        h, edges, _ = words(b.column(1))
-        sets = shingle_sets(h, edges, SHINGLE)
-        keys = band_keys(signatures(sets, BANDS * ROWS))
+        h, edges, sets = _sets_of(b.column(1), by_count)
+        keys = band_keys(signatures(sets, BANDS * ROWS, by_count))
         some = np.diff(edges) > 0
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_keys(h, edges), pa.binary()), pa.array([x if s else None for x, s in zip(keys, some, strict=True)], pa.list_(pa.int64())), b.column(2)], ["doc_id", "key", "bands", "text_hash"])
+    lean()
 
 
-def _collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _collect_sets(batches: Iterator[pa.RecordBatch], by_count: bool) -> Iterator[pa.RecordBatch]:
+    lean()
     for b in _batches(batches):
-        h, edges, _ = words(b.column(1))
-        sets = shingle_sets(h, edges, SHINGLE)
-        low = (signatures(sets, BANDS * ROWS) & np.uint64(0xFFFF)).astype("<u2")
-        yield pa.RecordBatch.from_arrays([pa.array(_keys(h, edges), pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([s.astype("<u8").tobytes() for s, _ in sets], pa.binary())], ["key", "sketch", "shingles"])
+        h, edges, sets = _sets_of(b.column(1), by_count)
+        low = (signatures(sets, BANDS * ROWS, by_count) & np.uint64(0xFFFF)).astype("<u2")
+        yield pa.RecordBatch.from_arrays([pa.array(_keys(h, edges), pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([_plain(*s).tobytes() for s in sets], pa.binary())], ["key", "sketch", "shingles"])
+    lean()
+
+
+def _plain(element: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A weighted set as a plain one of the same similarities: an element of weight c is c elements."""
+    if not len(count) or count.max() == 1:
+        return element.astype("<u8")
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    again = np.repeat(element, count)
+    return np.sort(np.where(nth > 0, mix(again + STEP * nth.astype(np.uint64)), again)).astype("<u8")
 
 
 def _alike(batches: Iterator[pa.RecordBatch], threshold: float = THRESHOLD) -> Iterator[pa.RecordBatch]:
@@ -174,56 +196,53 @@ def _verify(pairs: DataFrame, sets: DataFrame, prefilter: bool) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(_alike, "a binary, b binary")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: |x ^ y| <= NEAR * (|x| + |y|) is the same as similarity THRESHOLD.
+NEAR = (1 - THRESHOLD) / (1 + THRESHOLD)
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_count: bool = False) -> DataFrame:
     """doc_id, class_id, class_rows, keep: one row per document.
 
     Documents are of one class if a chain of links joins them: texts alike in
     their words, or whose sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more.  ``class_id`` is the least doc_id of the class; ``keep``
+    of 0.8 or more; with ``by_count`` shingles weigh as often as they stand in
+    a text, and similarity is the weighted one (sum of minima over sum of
+    maxima).  ``class_id`` is the least doc_id of the class; ``keep``
     marks the row that stays.  Null and empty texts, and texts without a word,
-    are one class.  Texts of fewer than five words are one shingle.  Null ids
-    take part; a class of null ids has a null class_id.  Rows alike in id and
-    text are one document and are marked alike.  Empty table: no rows.  Other
-    columns are not read.
+    are one class.  Texts of fewer than five words are one shingle.  Long texts
+    are read whole, in groups of bounded size.  Null ids take part; a class of
+    null ids has a null class_id.  Rows alike in id and text are one document
+    and are marked alike.  Empty table: no rows.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("text_hash"))
-    signed = materialize(rows.mapInArrow(_sign, "doc_id long, key binary, bands array<bigint>, text_hash long"), "signed")
+    signed = materialize(rows.mapInArrow(lambda it: _sign(it, by_count), "doc_id long, key binary, bands array<bigint>, text_hash long"), "signed")
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = materialize(signed.groupBy("key").agg(F.min(ordered).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.filter(F.col("bands").isNotNull()).select("key", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # written first: a join of two plain shuffles is one that a hot bucket can be split in
+    buckets = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = materialize(banded.join(buckets, "band"), "members")
+    drop_table(buckets)
     # the leader of a bucket is its member with most bucket mates over all bands: of a group of copies, the least edited
     known = members.groupBy("key").agg(F.sum("size").alias("known"))
-    leaders = members.join(known, "key").groupBy("band").agg(F.max(F.struct("known", "key")).alias("l")).select("band", F.col("l.key").alias("leader"))
-    sets = _sets(rows, nodes, members)
-
-    def of(keys: DataFrame, comp: DataFrame, name: str, out: str) -> DataFrame:
-        c = comp.select(F.col("node").alias(name), F.col("component").alias("_c"))
-        return keys.join(c, name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
-
-    stars = members.join(leaders, "band").filter("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+    leaders = materialize(members.join(known, "key").groupBy("band").agg(F.max(F.struct("known", "key")).alias("l")).select("band", F.col("l.key").alias("leader")), "leaders")
+    sets = _sets(rows, nodes, members, by_count)
+    stars = materialize(members.join(leaders, "band").filter("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
+    drop_table(members)
+    drop_table(leaders)
     links = materialize(_verify(stars, sets, True), "links")
     comp = components(links)
-    # buckets that still hold more than one component: those outside the largest meet all the others that they can be like
-    held = of(members.select("band", "key"), comp, "key", "c")
-    sizes = held.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
-    most = sizes.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("band", F.col("top.c").alias("main"))
-    mixed = materialize(held.join(most, "band"), "mixed")
-    able = _able(sets, mixed.select("key").distinct())
-    mixed = mixed.join(able, "key")
-    x = mixed.filter("c <> main").select("band", F.col("key").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("shared").alias("ha"))
-    y = mixed.select("band", F.col("key").alias("b"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"), F.col("size").alias("sb"), F.col("shared").alias("hb"))
-    # neither text can share more with the other than it shares with any
-    could = F.least("ha", "hb") + 1e-9 >= THRESHOLD / (1 + THRESHOLD) * (F.col("sa") + F.col("sb"))
-    # what the smallest of a bucket rules out needs no pairing
-    least = mixed.groupBy("band").agg(F.min("size").alias("smallest"))
-    x = x.join(least, "band").filter(F.col("ha") + 1e-9 >= THRESHOLD / (1 + THRESHOLD) * (F.col("sa") + F.col("smallest")))
-    cross = x.join(y, "band").filter("ca <> cb AND (in_main OR a < b)").filter(could).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(_verify(cross, sets, True), "links")
-    comp = materialize(components(links.unionByName(more)), "components") if not more.isEmpty() else comp
-    classed = of(nodes.select("key", "first", "n"), comp, "key", "c")
-    named = materialize(classed, "classed")
+    pairs = _others(stars, comp, sets)
+    if pairs is not None:
+        more = materialize(_verify(pairs, sets, True), "links")
+        if not more.isEmpty():
+            stars_now = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
+            comp = components(stars_now.unionByName(more))
+        drop_table(pairs)
+        drop_table(more)
+    named = materialize(_in(nodes.select("key", "first", "n"), comp, "key", "c"), "classed")
+    for t in (stars, links, sets, comp, nodes):
+        drop_table(t)
     by_class = named.groupBy("c").agg(F.sum("n").alias("class_rows"), F.min("first").alias("stays"))
     by_key = named.select("key", "c").join(by_class, "c").select("key", "class_rows", "stays")
     stays = F.col("stays.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("stays.text_hash") == F.col("text_hash"))
@@ -231,12 +250,72 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", F.col("stays.doc_id").alias("class_id"), "class_rows", stays.alias("keep"), "text_hash")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _in(keys: DataFrame, comp: DataFrame, name: str, out: str) -> DataFrame:
+    """``keys`` with the component of column ``name``; that of a text without a link is the text."""
+    c = comp.select(F.col("node").alias(name), F.col("component").alias("_c"))
+    return keys.join(c, name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
+
+
+def _others(stars: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of different components under one leader that may reach the threshold; None where there is no such leader.
+
+    ``stars`` are texts a and their leaders b.  All that may be like one
+    another are found, as the module says.
+    """
+    held = materialize(_in(_in(stars, comp, "a", "c"), comp, "b", "cb"), "held")
+    open_ = held.groupBy("b").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("b")
+    s = sets.select("key", "shingles")
+    both = held.join(open_, "b").join(s.withColumnsRenamed({"key": "a", "shingles": "x"}), "a").join(s.withColumnsRenamed({"key": "b", "shingles": "y"}), "b")
+    edited = materialize(both.select(F.xxhash64("a", "b").alias("id"), "a", "c", (F.col("c") != F.col("cb")).alias("out"), "b", "x", "y").mapInArrow(
+        _edits, "id long, a binary, c binary, out boolean, size long, led long, edits binary"), "edited")
+    drop_table(held)
+    if edited.isEmpty():
+        return None
+    rows = edited.select("id", "edits").mapInArrow(_explode, "id long, edit long")
+    often = materialize(rows.groupBy("edit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+    shared = rows.join(often, "edit").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "edit"))).alias("shared"))
+    e = F.call_function("div", F.octet_length("edits"), F.lit(8))
+    df = edited.withColumn("e", e).drop("edits").join(shared, "id")
+    # the least number of edits to share: with any text, and with a text that is not like the leader
+    any_ = F.greatest(F.ceil(F.col("e") - F.col("size") * (1 / THRESHOLD - 1) - 1e-6), F.lit(1))
+    far = F.greatest(F.floor((F.col("e") + (F.col("led") - F.col("size")) * NEAR) / 2 + 1e-6) + 1, F.lit(1))
+    alone = F.col("e") - F.size("shared")  # edits that nobody else made stand first
+    df = df.withColumn("short", F.col("e") - far + 1).withColumn("upto", F.when(F.col("out"), F.greatest(F.col("e") - any_ + 1, "short")).otherwise(F.col("short")))
+    first = df.filter(alone < F.col("upto")).select("a", "c", "out", "size", "e", "short", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), (F.col("upto") - alone).cast("int"))).alias("i", "s"))
+    first = materialize(first.select(F.col("s.edit").alias("edit"), "a", "c", "out", "size", "e", "short", (F.col("alone") + F.col("i") + 1).alias("at")), "first")
+
+    x = first.filter("out").select("edit", *(F.col(k).alias(f"{k}1") for k in ("a", "c", "size", "e", "short", "at")))
+    y = first.filter("at <= short").select("edit", "out", *(F.col(k).alias(f"{k}2") for k in ("a", "c", "size", "e", "at")))
+    left = 1 + F.least(F.col("e1") - F.col("at1"), F.col("e2") - F.col("at2"))  # edits that may be shared from here on
+    enough = left + 1e-6 >= (F.col("e1") + F.col("e2") - (F.col("size1") + F.col("size2")) * NEAR) / 2
+    found = x.join(y, "edit").filter((F.col("c1") != F.col("c2")) & enough & (~F.col("out") | (F.col("at1") <= F.col("short1")) & (F.col("a1") < F.col("a2"))))
+    pairs = materialize(found.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct(), "pairs")
+    for t in (edited, often, first):
+        drop_table(t)
+    return pairs
+
+
+def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, a, c, out, b, x, y to id, a, c, out, sizes of x and y, edits: hashes of the leader and the shingles that one of x and y has."""
+    lean()
+    for b in batches:
+        size, led, out = [], [], []
+        for key, x, y in zip(b.column(4), b.column(5), b.column(6), strict=True):
+            p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            of = np.frombuffer(key.as_buffer()[:8], "<u8")
+            size.append(len(p))
+            led.append(len(q))
+            out.append(mix(np.setxor1d(p, q, assume_unique=True) ^ mix(of * STEP)).astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(size, pa.int64()), pa.array(led, pa.int64()), pa.array(out, pa.binary())], ["id", "a", "c", "out", "size", "led", "edits"])
+    lean()
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_count: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, with all their columns.
 
     Rows alike in id and text count as one document, of which one row stays.
     """
-    classes = materialize(near_classes(docs, id_col, text_col), "near")
+    classes = materialize(near_classes(docs, id_col, text_col, by_count), "near")
     gone = classes.filter("NOT keep").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
     h = fresh(docs, "_text_hash")
     hashed = docs.withColumn(h, text_hash(text_col))
@@ -254,26 +333,15 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
         flat = np.concatenate([*found, np.zeros(0, "<i8")])
         for a in range(0, len(flat), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 200_000]), pa.array(flat[a : a + 200_000])], ["id", "shingle"])
-
-
-def _able(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, size, shared: of the texts that may reach the threshold with another of ``keys``, their shingles and how many stand in another one too.
-
-    A shingle that no other text has is common to no pair, so a text can share no more than the rest.
-    """
-    mine = sets.join(keys, "key", "left_semi").select("key", F.xxhash64("key").alias("id"), "shingles")
-    alone = mine.select("id", "shingles").mapInArrow(_explode, "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
-    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    size = F.call_function("div", F.octet_length("shingles"), F.lit(8))
-    out = mine.select("key", "id", size.alias("size")).join(alone, "id", "left").select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    return materialize(out.filter(F.col("shared") + 1e-9 >= THRESHOLD * F.col("size")), "able")
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 200_000]), pa.array(flat[a : a + 200_000])], ["id", "edit"])
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, nodes: DataFrame, members: DataFrame, by_count: bool) -> DataFrame:
     """key, sketch, shingles of the texts that have bucket mates."""
     wanted = materialize(nodes.select("key", F.col("first.doc_id").alias("first")).join(members.select("key").distinct(), "key"), "wanted")
     with_id = rows.filter("doc_id IS NOT NULL").join(wanted.select(F.col("first").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    found = with_id.unionByName(rows.filter("doc_id IS NULL")).mapInArrow(_collect_sets, "key binary, sketch binary, shingles binary")
+    found = with_id.unionByName(rows.filter("doc_id IS NULL")).mapInArrow(lambda it: _collect_sets(it, by_count), "key binary, sketch binary, shingles binary")
     found = found.join(wanted.select("key"), "key", "left_semi")
-    return materialize(found.dropDuplicates(["key"]), "sets")
+    out = materialize(found.dropDuplicates(["key"]), "sets")
+    drop_table(wanted)
+    return out

@@ -17,8 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     that can be split.
     """
     edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    before = None
-    while True:
+    before = _state(edges)
+    while before[0]:
         # large star: every neighbour larger than the node goes to the node's least neighbour
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.min("hi").alias("m")).select(F.col("lo").alias("u"), F.least("lo", "m").alias("m"))
@@ -29,9 +29,14 @@ def components(links: DataFrame) -> DataFrame:
         small = small.select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).filter("lo <> hi").distinct()
         old, edges = edges, materialize(small, "edges")
         drop_table(old)
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0))).first()
+        now = _state(edges)
         if before == now:
             break
         before = now
     roots = edges.select(F.col("lo").alias("node")).distinct()
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Count and order-free digest of the edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0))).first())

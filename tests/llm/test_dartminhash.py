@@ -122,3 +122,39 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long")).collect()))
     assert got == {x: top(x) for x in list(up)}
+
+
+def test_crowd_mostly_below_the_threshold(spark, monkeypatch):
+    """Copies of one text, edited so much that most pairs are unlike: classes as by brute force, from few comparisons."""
+    rng = random.Random(9)
+    text = [f"t{i}" for i in range(140)]
+    rows = []
+    for i in range(500):
+        t = list(text)
+        for _ in range(rng.randint(0, 14)):
+            at, how = rng.randrange(len(t)), rng.random()
+            t[at : at + 1] = [rng.choice([f"n{rng.randrange(10**6)}", f"e{rng.randrange(4)}"])] if how < 0.6 else [] if how < 0.8 else [t[at], "more"]
+        rows.append((i, " ".join(t)))
+    made = {}
+    keep = D.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = max(made.get(name, 0), out.count()) if name == "pairs" else 0
+        return out
+
+    monkeypatch.setattr(D, "materialize", counted)
+    got = {r.doc_id: r.class_id for r in D.near_classes(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], S)).collect()}
+    want = brute(rows)
+    assert len(set(want)) > 100
+    assert got == dict(enumerate(want))
+    assert made["pairs"] < 4 * len(rows)
+
+
+def test_weights(spark):
+    """Texts alike as sets and unlike as weighted sets."""
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, a), (2, f"{a} {a}"), (3, " ".join([a] * 6)), (4, " ".join([a] * 7))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], S)
+    assert {r.doc_id: r.class_id for r in D.near_classes(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}  # 36 of 40 shingles; 40 of 40
+    assert {r.doc_id: r.class_id for r in D.near_classes(df, by_count=True).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
