@@ -72,3 +72,12 @@ def test_odd_rows(spark):
     cut = L.dedup_lines(df)
     assert cut.columns == df.columns and cut.count() == 7 and cut.filter("text IS NULL").count() == 1
     assert L.repeated_runs(spark.createDataFrame([], S)).collect() == []
+
+
+def test_text_of_very_many_lines(spark):
+    """Time and memory are near linear in the lines of one text."""
+    one = [f"line {i}" for i in range(60000)]
+    rows = [(1, "\n".join(one)), (2, "\n".join(["x"] + one[100:50000:1] + ["y"] + one[:30]))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], S)
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.runs) for r in L.repeated_runs(df).collect()}
+    assert got == {1: (60000, 0, ""), 2: (49932, 49930, "1:49900,49902:30")}
