@@ -8,10 +8,11 @@ the larger of q*max and q*min.  Blocks are taken by falling bound and scored
 through their forward index until the bound falls below the k-th best score;
 the first k-th score comes from the query's own block, scored while it is made.
 
-Queries and blocks meet in a grid: query slices of bounded size are joined by
-key with chunks of blocks of bounded size, and the per-chunk best lists merge
-by a window.  Nothing is broadcast and no pair of rows is ever emitted other
-than the k best of a query in a chunk.
+Queries and blocks meet in a grid.  First slices of queries of bounded size meet
+the blocks' bounds only, a small part of the data; then the blocks that some
+query of a slice still needs are joined by key with the slice, chunk by chunk,
+and the per-chunk best lists merge by a window.  Nothing is broadcast and no
+pair of rows is ever emitted other than the k best of a query in a chunk.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from keyloom.llm.common import materialize
 BLOCK = 256
 CHUNK = 8192
 SLICE = 8192
+#: Chunks whose bounds meet a slice at once.
+GROUP = 64
 LONG = 2**63
 
 
@@ -127,14 +130,17 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     Ties go to the smaller vec_id; with fewer than k candidates all are given.
     Vectors that are null or hold null or non-finite components, and rows
-    without id, take no part.  Of rows with one vec_id the least vector counts.
+    without id, take no part.  A repeated vec_id is a row each time: as a
+    candidate it may stand in a result several times, as a query its rows have
+    one common result, and none of its rows is a candidate for another.
     Vectors of different lengths are scored over the shorter length (absent
     components are 0); an empty table gives no rows.  Components are cut to a
     long.  Extra columns are not read.
     """
-    whole = quantized(vectors, scale, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sized = whole.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    n, dims = int(sized[0]), int(sized[1])
+    whole = quantized(vectors, scale, id_col, vector_col)
+    sized = whole.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(F.array_max("v")), F.lit(0)), F.coalesce(F.min(F.array_min("v")), F.lit(0))).first()
+    n, dims = int(sized[0]), max(1, int(sized[1]))
+    kind = "<i2" if max(int(sized[2]), -int(sized[3])) < 2**15 else "<i8"  # components as narrow as they all fit
     parts = max(1, math.ceil(n / chunk))
     # enough ranges for the cores, each of a few blocks at least
     parts = max(parts, min(vectors.sparkSession.sparkContext.defaultParallelism * 2, math.ceil(n / (4 * block))))
@@ -146,7 +152,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
         part, nr, rest = TaskContext.get().partitionId(), 0, None
 
         def made(p: pd.DataFrame) -> dict:
-            m = np.zeros((len(p), dims), dtype=np.int64)
+            m = np.zeros((len(p), dims), dtype=kind)
             for i, r in enumerate(p["v"]):
                 m[i, : len(r)] = r
             ids = p["vec_id"].to_numpy(dtype=np.int64)
@@ -155,9 +161,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
             if len(q) and len(ids) > k:
                 s = exact_scores(m[q], m)
                 for j, i in enumerate(q):
-                    own = np.delete(s[j], i)
-                    seeds[j] = np.partition(own, len(own) - k)[len(own) - k]
-            return {"chunk": part, "block": nr, "ids": ids.tobytes(), "m": m.tobytes(), "qids": ids[q].tobytes(), "qm": m[q].tobytes(), "seeds": seeds.tobytes()}
+                    own = s[j][ids != ids[i]]
+                    if len(own) >= k:
+                        seeds[j] = np.partition(own, len(own) - k)[len(own) - k]
+            return {"chunk": part, "block": nr, "ids": ids.tobytes(), "m": m.tobytes(), "qids": ids[q].tobytes(), "qm": m[q].tobytes(), "seeds": seeds.tobytes(), "hi": m.max(axis=0).tobytes(), "lo": m.min(axis=0).tobytes()}
 
         for p in batches:
             rest = p if rest is None or not len(rest) else pd.concat([rest, p], ignore_index=True)
@@ -170,24 +177,44 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     ordered = whole.withColumn("_like", _likeness()).repartitionByRange(parts, "_like", "vec_id").sortWithinPartitions("_like", "vec_id")
     blocks = materialize(ordered.select("vec_id", "v").mapInPandas(
-        cut, "chunk int, block int, ids binary, m binary, qids binary, qm binary, seeds binary"), "blocks")
+        cut, "chunk int, block int, ids binary, m binary, qids binary, qm binary, seeds binary, hi binary, lo binary"), "blocks")
     queries = int(blocks.agg(F.coalesce(F.sum(F.octet_length("qids")), F.lit(0))).first()[0]) // 8
     slices = max(1, math.ceil(queries / slice_rows))
     pick = F.pmod(F.xxhash64("chunk", "block"), F.lit(slices)).cast("int")
-    chunks = blocks.select("chunk").distinct()
     asked = blocks.filter(F.octet_length("qids") > 0).select(pick.alias("slice"), "qids", "qm", "seeds")
-    packed = asked.groupBy("slice").agg(F.collect_list(F.struct("qids", "qm", "seeds")).alias("qs"))  # slice_rows queries, about
-    left = packed.select("slice", "qs", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("chunk")).join(chunks, "chunk", "left_semi")
-    right = blocks.select("chunk", "block", "ids", "m", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    packed = materialize(asked.groupBy("slice").agg(F.collect_list(F.struct("qids", "qm", "seeds")).alias("qs")), "slices")  # slice_rows queries each, about
+
+    def numbers(x: bytes, what: str) -> np.ndarray:
+        return np.frombuffer(x, dtype=what).astype(np.int64)
+
+    def needed(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        """The blocks that some query of the slice cannot do without, by their bounds alone."""
+        if not len(qs) or not len(bs):
+            return pd.DataFrame(columns=["slice", "chunk", "block"])
+        here = [x for r in qs["qs"] for x in r]
+        q = np.concatenate([numbers(x["qm"], kind).reshape(-1, dims) for x in here])
+        seeds = np.concatenate([numbers(x["seeds"], "<i8") for x in here])
+        hi, lo = (np.stack([numbers(x, kind) for x in bs[c]]) for c in ("hi", "lo"))
+        keep = np.zeros(len(bs), dtype=bool)
+        for a in range(0, len(q), 512):
+            keep |= (_bounds(q[a : a + 512], hi, lo) >= seeds[a : a + 512, None]).any(axis=0)
+        return pd.DataFrame({"slice": qs["slice"].iloc[0], "chunk": bs["chunk"][keep], "block": bs["block"][keep]})
+
+    every_slice = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    bounds = blocks.select((F.col("chunk") / GROUP).cast("int").alias("group"), "chunk", "block", "hi", "lo", every_slice)
+    near_to = packed.select("slice", "qs", F.explode(F.sequence(F.lit(0), F.lit((parts - 1) // GROUP))).alias("group"))
+    wanted = materialize(near_to.groupBy("slice", "group").cogroup(bounds.groupBy("slice", "group")).applyInPandas(needed, "slice int, chunk int, block int"), "wanted")
+    left = packed.join(wanted.select("slice", "chunk").distinct(), "slice").select("slice", "qs", "chunk")
+    right = blocks.select("chunk", "block", "ids", "m").join(wanted, ["chunk", "block"])
 
     def meet(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(qs) and len(bs):
             here = [x for r in qs["qs"] for x in r]
             qids = np.concatenate([np.frombuffer(x["qids"], dtype=np.int64) for x in here])
-            q = np.concatenate([np.frombuffer(x["qm"], dtype=np.int64).reshape(-1, dims) for x in here])
+            q = np.concatenate([numbers(x["qm"], kind).reshape(-1, dims) for x in here])
             seeds = np.concatenate([np.frombuffer(x["seeds"], dtype=np.int64) for x in here])
-            bl = [(np.frombuffer(i, dtype=np.int64), np.frombuffer(m, dtype=np.int64).reshape(-1, dims)) for i, m in zip(bs["ids"], bs["m"], strict=True)]
+            bl = [(np.frombuffer(i, dtype=np.int64), np.frombuffer(m, dtype=kind).reshape(-1, dims)) for i, m in zip(bs["ids"], bs["m"], strict=True)]
             found = list(search_chunk(qids, q, seeds, bl, k))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 

@@ -5,17 +5,15 @@ from keyloom.llm import topk
 
 
 def brute(rows, k=10, every=100):
-    seen = {}
+    kept = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        w = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-        seen[i] = min(seen.get(i, w), w)
+        kept.append((i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]))
     out = set()
-    for q in seen:
-        if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(seen[q], seen[c])), c) for c in seen if c != q)
-            out |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])}
+    for q in {i for i, _ in kept if i % every == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), c) for i, x in kept if i == q for c, y in kept if c != q)
+        out |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])}
     return out
 
 
@@ -38,6 +36,18 @@ def test_odd_rows(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_repeated_ids_and_unlike_lengths(spark, duck):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.normal(size=rng.integers(0, 6)).astype(np.float32).tolist()) for i in rng.integers(0, 30, 200)]
+    assert run(spark, rows, every=10, block=8, chunk=32) == brute(rows, every=10)
+    even = [(i, [*v, *[0.0] * 6][:6]) for i, v in rows]
+    import pandas as pd
+
+    duck.register("few", pd.DataFrame({"vec_id": [100 * i for i, _ in even], "embedding": [v for _, v in even]}))
+    ref = duck.execute(topk.ORACLE.replace("embeddings", "few")).fetchall()
+    assert sorted(run(spark, [(100 * i, v) for i, v in even])) == sorted(ref)
+
+
 def test_few_and_none(spark):
     assert run(spark, [(0, [1.0])]) == set()
     assert run(spark, []) == set()
