@@ -71,10 +71,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: f
     none); without it sources weigh as rows ** ``temperature``.  ``target_rows``
     is the expected size of the result, by default that of the input.
 
-    Rows alike in id and text share their uniform value and so their number of
-    copies.  Null ids are hashed as "null"; null texts count as rows like any
-    other; an empty table gives an empty one.  Columns of ``docs`` named as a
-    new one are kept, the new one then ends in "_".
+    The uniform value is hashed from id and text: rows alike in both share it,
+    and so their number of copies; rows that differ in one do not.  Null ids
+    are hashed as "null", null texts as empty ones, long texts whole; an empty
+    table gives an empty one.  Columns of ``docs`` named as a new one are kept,
+    the new one then ends in "_".
     """
     spark = docs.sparkSession
     rates = materialize(source_rates(docs, weights, target_rows, temperature, source_col).withColumn("cdf", poisson_cdf(F.col("rate"))), "rates")
@@ -82,19 +83,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: f
     copy, copies, order = (fresh(docs, c) for c in ("copy", "copies", "shuffle_key"))
     keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")))
     small = rates.select(F.col("_key").alias(key), F.col("cdf").alias(cdf))
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    ident = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text_of(text_col).cast("binary")))
     if rates.count() <= BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(small), key)
     else:  # a hot source is dealt over SALTS keys
         joined = keyed.withColumn(salt, F.pmod(F.xxhash64(ident), F.lit(SALTS))).join(
             small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), [key, salt]).drop(salt)
-    u = _uniform(F.lit(str(seed)), ident)
-    n = F.size(F.filter(F.col(cdf), lambda c: c <= u))
-    out = joined.withColumn(copies, n.cast("int")).drop(key, cdf).filter(F.col(copies) > 0)
+    who = fresh(docs, "_who")
+    joined = joined.withColumn(who, ident)
+    n = F.aggregate(F.col(cdf), F.struct(_uniform(F.lit(str(seed)), F.col(who)).alias("u"), F.lit(0).alias("n")),
+                    lambda s, c: F.struct(s["u"].alias("u"), (s["n"] + F.when(c <= s["u"], 1).otherwise(0)).alias("n")), lambda s: s["n"])
+    out = joined.withColumn(copies, n).drop(key, cdf).filter(F.col(copies) > 0)
     out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    out = out.withColumn(order, F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), ident, F.col(copy).cast("string")).cast("binary")))
+    out = out.withColumn(order, F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col(who), F.col(copy).cast("string")).cast("binary"))).drop(who)
     # each row goes to a partition by its hash, and stands there by its hash
-    return out.repartition(order).sortWithinPartitions(order, F.xxhash64(text_of(text_col)))
+    return out.repartition(order).sortWithinPartitions(order)
 
 
 ORACLE = f"""
@@ -103,11 +106,11 @@ t AS (SELECT sum(n) AS all_rows, sum(pow(n::DOUBLE, {TEMPERATURE})) AS all_w FRO
 r AS (SELECT k, pow(n::DOUBLE, {TEMPERATURE}) / all_w * all_rows::DOUBLE / n AS rate FROM s, t),
 c AS (SELECT k, j, sum(exp(-rate + j * ln(rate) - lgamma(j + 1))) OVER (PARTITION BY k ORDER BY j) AS cdf
       FROM (SELECT k, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT)) AS j FROM r)),
-d AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / pow(2.0, 48) AS u,
+d AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT / pow(2.0, 48) AS u,
       coalesce('s' || source, 'n') AS k FROM documents),
 m AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS copies
       FROM d JOIN c ON d.k = c.k AND c.cdf <= d.u GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, copy::INTEGER AS copy,
-       md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR) AS shuffle_key
+       md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || copy::VARCHAR) AS shuffle_key
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM m)
 """

@@ -58,3 +58,19 @@ def test_odd_rows(spark):
     assert by[2] % 2 == 0 and {r.copy for r in out} == {9} and "copy_" in out[0].__fields__
     assert mixing.mix(spark.createDataFrame([], S)).collect() == []
     assert mixing.mix(spark.createDataFrame(rows, S), weights={"other": 1.0}).collect() == []
+
+
+def test_null_ids_draw_apart(spark):
+    df = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    by = collections.Counter(r.text for r in mixing.mix(df).collect())
+    assert set(by.values()) >= {1, 2, 3} and abs(sum(by.values()) - 500) < 6 * math.sqrt(500)
+
+
+def test_sql_on_odd_rows(spark, duck):
+    rows = [(None, f"t{i}", "en", "s", 1) for i in range(40)] + [(7, f"u{i}", "en", None, 1) for i in range(40)] + [(8, None, None, "s", None)]
+    df = spark.createDataFrame(rows, S)
+    duck.register("odd", df.toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"}))
+    out = mixing.mix(df)
+    ref = duck.execute(mixing.ORACLE.replace("documents", "odd"))
+    cols = [c[0] for c in ref.description]
+    assert sorted(map(repr, map(tuple, out.select(*cols).collect()))) == sorted(map(repr, ref.fetchall()))
