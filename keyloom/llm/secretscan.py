@@ -4,7 +4,8 @@ Fixed patterns find assignments, access keys and long hex strings; opaque
 tokens (long, of mixed letters and digits) are candidates besides.  Every
 candidate's value is hashed, and over the whole corpus the distinct
 repositories and owners that hold the hash are counted.  A value of many
-owners is a widely copied example; one of a single owner is live-looking.
+owners, or in very many repositories, is a widely copied example; one of a
+single owner in few repositories is live-looking.
 Opaque tokens of one owner are added to the spans.  DataFrame functions only.
 """
 
@@ -27,6 +28,8 @@ OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 #: A value of so many owners at least is an example; of at most so many it is live-looking.
 EXAMPLE_OWNERS, LIVE_OWNERS = 3, 1
+#: A value in so many repositories is an example even under one owner.
+EXAMPLE_REPOS = 100
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -48,15 +51,17 @@ def opaque_spans(text: Column, tags: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None,
-                 live_owners: int = LIVE_OWNERS, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+                 live_owners: int = LIVE_OWNERS, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners, most_repos: one row per document.
 
     The owner of a document is its source; its repository, unless a column is
     named, the document itself.  Counts and the digest are of the fixed
-    patterns' spans; ``spans`` also has opaque tokens of at most ``live_owners``
-    owners.  ``n_live`` counts the document's different values of so few owners,
-    ``n_example`` those of ``example_owners`` or more; ``most_owners`` and
-    ``most_repos`` are of its most widely held value (0 without any).
+    patterns' spans; ``spans`` also has opaque tokens that look live.  A value is
+    an example if ``example_owners`` or ``example_repos`` hold it, and looks live
+    if at most ``live_owners`` do and it is no example; ``n_live`` and
+    ``n_example`` count the document's different values of each sort.
+    ``most_owners`` and ``most_repos`` are the most that hold one of its values
+    (0 without any); a repository counts once, whoever owns it.
 
     Null text: as empty.  A null owner or id is an owner or repository of its own.
     Repeated rows count once for ownership.  Long texts are read whole.  Empty
@@ -75,13 +80,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = materialize(found, "secrets")
 
     held = seen.filter(F.size("values") > 0).select("doc_id", "_h", "_owner", "_repo", F.explode("values").alias("value"))
-    # distinct by steps, each combined before its shuffle: (value, owner, repository), (value, owner), value
-    owned = held.groupBy("value", "_owner", "_repo").agg(F.lit(1).alias("one")).groupBy("value", "_owner").agg(F.count(F.lit(1)).alias("repos"))
-    owned = materialize(owned.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos")), "owned")
+    # distinct by steps, each combined before its shuffle: (value, holder), then value
+    def holders(col: str, out: str) -> DataFrame:
+        return held.groupBy("value", col).agg(F.lit(1).alias("one")).groupBy("value").agg(F.count(F.lit(1)).alias(out))
+
+    owned = materialize(holders("_owner", "owners").join(holders("_repo", "repos"), "value"), "owned")
     judged = held.select("doc_id", "_h", "value").distinct().join(owned, "value")
-    live = F.col("owners") <= live_owners
+    example = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
+    live = (F.col("owners") <= live_owners) & ~example
     by_doc = judged.groupBy("doc_id", "_h").agg(
-        F.sum(live.cast("long")).alias("n_live"), F.sum((F.col("owners") >= example_owners).cast("long")).alias("n_example"),
+        F.sum(live.cast("long")).alias("n_live"), F.sum(example.cast("long")).alias("n_example"),
         F.max("owners").alias("most_owners"), F.max("repos").alias("most_repos"), F.collect_set(F.when(live, F.col("value"))).alias("live"))
     by_doc = by_doc.withColumnsRenamed({"doc_id": "_i", "_h": "_g"})
     out = seen.join(by_doc, seen["doc_id"].eqNullSafe(by_doc["_i"]) & (seen["_h"] == by_doc["_g"]), "left")

@@ -64,3 +64,13 @@ def test_ownership(spark):
     assert out[0].n_example == 1 and out[0].n_live == 0 and out[0].most_owners == 6 and out[0].most_repos == 21
     assert out[50].spans == f"opaque:3:{3 + len(own)}" and out[50].n_live == 1 and out[50].most_repos == 2
     assert out[52].spans == "" and out[52].most_owners == 2
+
+
+def test_repositories_and_examples(spark):
+    """A repository under two owners counts once; what very many repositories of one owner hold is an example."""
+    a, b = "tokenA1" * 4, "Zz9keyB" * 4
+    rows = [(1, f"use {a} here", "x", "r1"), (2, f"use {a} here", "y", "r1")] + [(10 + i, f"use {b} here {i}", "x", f"p{i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r for r in secretscan.find_secrets(df, repo_col="repo").collect()}
+    assert (got[1].most_owners, got[1].most_repos) == (2, 1)
+    assert (got[10].most_owners, got[10].most_repos, got[10].n_live, got[10].n_example, got[10].spans) == (1, 150, 0, 1, "")
