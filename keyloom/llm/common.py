@@ -34,8 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/keyloom/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -61,12 +65,28 @@ def drop_table(df: DataFrame) -> None:
 
 
 def clean_up(spark: SparkSession) -> None:
-    """Delete all scratch files below the shared folder, when results that read them have been written."""
+    """Delete this application's scratch files, when results that read them have been written."""
     context = spark.sparkContext
-    at = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/keyloom")
+    at = context._jvm.org.apache.hadoop.fs.Path(_own(spark))
     at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Numbers that one array of ``each`` holds at most.
+RUN = 10_000
+
+
+def each(df: DataFrame, count: str, name: str, most: int | None = None) -> DataFrame:
+    """Every row ``count`` times, numbered from 0 in ``name``, in arrays of bounded size.
+
+    ``most``: the largest count, where it is known; then a row of very many is dealt over the cluster before it is expanded.
+    """
+    part = fresh(df, "_part")
+    first = df.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {RUN}"))))
+    if most is not None and most > RUN:
+        first = first.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return first.withColumn(name, F.explode(F.sequence(F.col(part) * RUN, F.least(F.col(part) * RUN + (RUN - 1), F.col(count) - 1)))).drop(part)
+
+
 def lean() -> None:
     """In a Python worker: Arrow's memory comes from the system's allocator, and what is free goes back to the system.
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize, text_of
+from keyloom.llm.common import each, materialize, text_of
 
 LAW = "rows"
 SHARDS = 16
@@ -56,14 +56,15 @@ def number_rows(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, i
 
     The numbering orders rows by (bucket, keys), the bucket being a hash of the
     keys, so it does not depend on how the input is split.  Rows that are
-    alike in all keys are counted before the shuffle and spread afterwards, so
-    one row repeated without end is no hot spot.
+    alike in all keys are counted before the shuffle and spread afterwards, in
+    parts of bounded size that are dealt over the cluster, so one row repeated
+    without end is no hot spot.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
     counted = materialize(counted, "numbered")
-    sizes = counted.groupBy("_bucket").agg(F.sum("_n").alias("_size"))
-    bases = [(int(b), int(s)) for b, s in sorted(tuple(r) for r in sizes.collect())]  # BUCKETS rows at most
+    sizes = counted.groupBy("_bucket").agg(F.sum("_n").alias("_size"), F.max("_n").alias("_most")).collect()  # BUCKETS rows at most
+    bases = sorted((int(r["_bucket"]), int(r["_size"])) for r in sizes)
     total, base = 0, []
     for b, s in bases:
         base.append((b, total))
@@ -73,14 +74,14 @@ def number_rows(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, i
     w = Window.partitionBy("_bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_base") + F.coalesce(F.sum("_n").over(w), F.lit(0))
     out = counted.join(table, "_bucket").withColumn("_first", first)
-    out = out.select(*keys, F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)).alias(name))
-    return out, total
+    out = each(out, "_n", "_nr", max((int(r["_most"]) for r in sizes), default=0))
+    return out.select(*keys, (F.col("_first") + F.col("_nr")).alias(name)), total
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, row_number, shard, slot, grown_shard for every document.
 
-    Null text: as empty (size 1, crc 0).  Null or repeated ids: rows like any
+    Null text: as empty (size 1, crc 0).  Long texts: size and crc are of the whole.  Null or repeated ids: rows like any
     other; rows alike in id and text are interchangeable, and take numbers of
     their own.  Empty table: no rows.  Other columns are not read.
     ``grown_shard`` is null: the law is ``rows``, under which one more shard

@@ -49,3 +49,9 @@ def test_one_row_without_end(spark):
 def test_empty(spark):
     assert feistel.shard_rows(spark.createDataFrame([], S)).collect() == []
     check([(5, "a")], feistel.shard_rows(spark.createDataFrame([(5, "a")], S)).collect())
+
+
+def test_a_row_repeated_very_often(spark):
+    df = spark.range(45_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text")).unionByName(spark.createDataFrame([(2, "x")], "doc_id long, text string"))
+    out = feistel.shard_rows(df).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("top")).collect()
+    assert sum(r.n for r in out) == 45_001 and all(r.n == r.d == r.top + 1 for r in out) and max(r.n for r in out) - min(r.n for r in out) <= 1
