@@ -183,13 +183,18 @@ def may_train(doc_id: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
-    """Fit on at most ``max_rows`` labelled rows.  Null labels and ids are left out; of a repeated label the least counts."""
+    """Fit on at most ``max_rows`` labelled ids.
+
+    Null labels and ids are left out; of a repeated label the least counts, of
+    the texts of a repeated id that of the least statistics.
+    """
     picked = labels.filter(may_train(F.col(id_col)) & F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label).cast("double").alias("_y"))
     picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     found = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(picked), "_id")  # max_rows at most
     stats = statistics(F.col("_t"))
     names = list(stats)
-    got = found.select("_id", "_y", *(v.alias(k) for k, v in stats.items())).limit(4 * max_rows).toPandas().sort_values(["_id", *names], kind="stable")
+    rows = found.select("_id", "_y", *(v.alias(k) for k, v in stats.items())).groupBy("_id").agg(F.min(F.struct("_y", *names)).alias("_r"))
+    got = rows.select("_id", "_r.*").toPandas().sort_values("_id", kind="stable")  # max_rows at most
     return train(got[names].to_numpy(float), (got["_y"].to_numpy(float) > 0).astype(float), names)
 
 
@@ -207,9 +212,11 @@ def scored(docs: DataFrame, model: RuleModel, out: str = "score", text_col: str
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
-    Null and empty texts are scored like any other (their statistics are 0).
-    A null id has held_out false.  Repeated rows are scored alike.  Without
-    usable labels every score is the same.  An empty table gives no rows.
+    Null and empty texts are scored like any other (their statistics are 0);
+    long texts are scored whole.  A null id has held_out false.  Repeated rows
+    are scored alike; rows of one id each by its text.  Without usable labels
+    every score is the same.  An empty table gives no rows.  Other columns are
+    not read.
     """
     model = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **kw)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
