@@ -1,14 +1,17 @@
 """Token ids in flat unsigned integer files, with 64-bit document offsets.
 
-Documents are ranged and sorted by id; each range becomes one shard of three
-files: ``N.ids`` (little-endian unsigned integers, as narrow as the vocabulary
-allows: 16 or 32 bits), ``N.idx`` (unsigned 64-bit offsets of its documents in
-ids of the shard, one more than documents) and ``N.doc`` (64-bit document ids).
-A shard's base, the ids before it in the whole corpus, is a prefix sum over
-the shards' totals.  Readers map the files into memory.
-
-Files are written under a temporary name and renamed, so a task that is lost
-or run twice leaves one whole shard.
+Texts are encoded where they are read; their ids are ranged and sorted by
+document id, or by a hash where the corpus is to stay shuffled.  Each range
+becomes one shard of three files: ``N.ids`` (little-endian unsigned integers,
+as narrow as the vocabulary allows: 16 or 32 bits), ``N.idx`` (unsigned 64-bit
+offsets of its documents in ids of the shard, one more than documents) and
+``N.doc`` (64-bit document ids); where documents have no id, ``N.nil`` lists
+their places.  A shard's base, the ids before it in the whole corpus, is a
+prefix sum over the shards' totals.  Readers map the files into memory.
+
+Files grow batch by batch under a temporary name and are renamed when whole,
+so a shard never is in memory, and a task that is lost or run twice leaves one
+whole shard.
 """
 
 from __future__ import annotations
@@ -26,13 +29,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import lean, scratch_path, text_of
+from keyloom.llm.common import each, lean, materialize, scratch_path, text_of
 
 END_ID = 2
 #: Bytes of text encoded at once; a longer text is a batch of its own.
 BATCH_BYTES = 2_000_000
-#: Distinct pieces that a task remembers; beyond that it starts anew.
-MEMORY = 700_000
+#: Bytes of distinct pieces that a task remembers, about; beyond that it starts anew.
+MEMORY = 64_000_000
+#: What a piece costs besides its letters.
+PIECE = 110
+#: Bytes of ids in a shard, about.
+SHARD_BYTES = 256_000_000
+#: Ids that a reader handles at once; a longer document is handled alone.
+READ_IDS = 2_000_000
+SEED = 23
 #: Pieces without apostrophes and of Latin letters, digits and marks only; and their parts.
 PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
@@ -71,7 +81,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.flat, self.starts, self.sizes, self.held = array("I"), array("q"), array("q"), 0
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -95,6 +105,7 @@ class Encoder:
             self.starts.append(len(self.flat))
             self.sizes.append(len(ids))
             self.flat.extend(ids)
+            self.held += PIECE + len(piece) + 4 * len(ids)
         return i
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +118,7 @@ class Encoder:
         coded = pc.list_flatten(pieces).dictionary_encode()
         del pieces
         words = coded.dictionary.to_pylist()
-        if len(self.index) + len(words) > MEMORY:
+        if self.held > MEMORY:
             self._forget()
         nr = np.fromiter(map(self.at, words), dtype=np.int64, count=len(words))
         at = nr[coded.indices.to_numpy()]
@@ -137,77 +148,139 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _put(uri: str, data: bytes | np.ndarray) -> None:
-    store, path = _files(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part, compression=None) as f:
-        f.write(memoryview(np.ascontiguousarray(data)).cast("B") if isinstance(data, np.ndarray) and data.size else bytes(data))
-    store.move(part, path)
+class _Out:
+    """A file that grows under a temporary name until it is whole."""
 
+    def __init__(self, uri: str) -> None:
+        self.store, self.path = _files(uri)
+        self.store.create_dir(os.path.dirname(self.path), recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex}"
+        self.to = self.store.open_output_stream(self.part, compression=None)
 
-def _map(uri: str, kind: str) -> np.ndarray:
-    """The numbers of a file, mapped into memory where the file is local."""
-    from pyarrow import fs
+    def write(self, data: np.ndarray) -> None:
+        if data.size:
+            self.to.write(memoryview(np.ascontiguousarray(data)).cast("B"))
 
-    store, path = _files(uri)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+    def close(self) -> None:
+        self.to.close()
+        self.store.move(self.part, self.path)
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files below ``out``; returns their table: shard, base, n_docs, n_ids, n_null, width, path.
+class _In:
+    """The numbers of a file: mapped into memory where the file is local, else read as they are asked for."""
 
-    Ascending ids; null ids stand first; rows of one id stand by a hash of
-    their texts.  Null and empty texts are the end id alone.  Long texts are
-    encoded whole.  An empty table gives no files.  The table has a row per
-    shard and comes from the driver.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    # few large shards: what a task has learnt of its words serves more text
-    parts = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, spark.sparkContext.defaultParallelism)
-    ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    def __init__(self, uri: str, kind: str) -> None:
+        from pyarrow import fs
+
+        store, path = _files(uri)
+        self.kind, self.file, self.all = np.dtype(kind), None, None
+        if isinstance(store, fs.LocalFileSystem):
+            self.all = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
+        else:
+            self.file = store.open_input_file(path)
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.all is not None:
+            return self.all[at]
+        return np.frombuffer(self.file.read_at((at.stop - at.start) * self.kind.itemsize, at.start * self.kind.itemsize), dtype=self.kind)
+
+
+def _map(uri: str, kind: str) -> np.ndarray:
+    """The numbers of a local file, mapped into memory."""
+    return _In(uri, kind).all
+
+
+def _coded(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """``rows`` (doc_id, h, n, text) with ids instead of the text: whole documents with their end ids, ``width`` bytes an id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from pyspark import TaskContext
-
-        enc = Encoder(tokenizer)
-        ids: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        docs_: list[np.ndarray] = []
-        nulls = 0
         lean()
+        enc = None
         for batch in batches:
-            d, t = batch.column(0), batch.column(1)
-            nulls += d.null_count
-            docs_.append(d.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+            t = batch.column(3)
             ends, a = np.cumsum(pc.binary_length(t).to_numpy(zero_copy_only=False)), 0
             while a < len(t):
+                enc = enc or Encoder(tokenizer)
                 z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_BYTES, side="right")))
                 flat, n = enc.texts(t.slice(a, z - a))
-                ids.append(np.insert(flat.astype(enc.width), np.cumsum(n), end_id))
-                counts.append(n + 1)
+                ids = np.insert(flat.astype(enc.width), np.cumsum(n), end_id)
+                edges = np.concatenate([[0], np.cumsum((n + 1) * enc.width.itemsize)])
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(edges.astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, z - a) for i in range(3)), pa.array(n + 1, pa.int64()), pa.array(np.full(z - a, enc.width.itemsize), pa.int32()), data.cast(pa.binary())], ["doc_id", "h", "n", "n_ids", "width", "ids"])
                 a = z
-        if docs_:
-            shard = TaskContext.get().partitionId()
-            n = np.concatenate(counts)
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype("<u8")
-            path = f"{out}/{shard:06d}"
-            _put(f"{path}.ids", np.concatenate(ids))
-            _put(f"{path}.idx", offsets)
-            _put(f"{path}.doc", np.concatenate(docs_))
+        del enc
+        lean()
+
+    return rows.select("doc_id", "h", "n", "text").mapInArrow(encode, "doc_id long, h long, n long, n_ids long, width int, ids binary")
+
+
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None,
+                 id_col: str = "doc_id", text_col: str = "text", shuffled: bool = False, seed: int = SEED) -> DataFrame:
+    """Write the files below ``out``; returns their table: shard, base, n_docs, n_ids, n_null, width, path.
+
+    Ascending ids; null ids stand first; rows of one id stand by a hash of
+    their texts.  With ``shuffled`` documents stand by a hash of ``seed``, id, text and
+    the number of the copy instead, so that copies of a document are dealt over
+    the files.  Null and empty texts are the end id alone.  Long texts are
+    encoded whole.  An empty table gives no files.  Other columns are not read.
+    The table has a row per shard and comes from the driver.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    h = F.xxhash64("text").alias("h")
+    if shuffled:  # copies are counted before they are moved, and encoded once
+        rows = rows.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).select("doc_id", h, "n", "text")
+    else:
+        rows = rows.select("doc_id", h, F.lit(1).cast("long").alias("n"), "text")
+    coded = materialize(_coded(rows, tokenizer, end_id), "coded")
+    total = coded.agg(F.coalesce(F.sum(F.col("n") * F.col("n_ids") * F.col("width")), F.lit(0))).first()[0]
+    parts = shards or max(spark.sparkContext.defaultParallelism, -(-int(total) // SHARD_BYTES))
+    by = ["doc_id", "h"]
+    if shuffled:
+        coded = each(coded, "n", "nr")
+        coded, by = coded.withColumn("at", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "h", "nr")), ["at", "doc_id", "h"]
+    ordered = coded.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        lean()
+        shard = TaskContext.get().partitionId()
+        path = f"{out}/{shard:06d}"
+        files: dict[str, _Out] = {}
+        n_docs = n_ids = width = 0
+        nil = []
+        for b in batches:
+            if not len(b):
+                continue
+            if not files:
+                files = {k: _Out(f"{path}.{k}") for k in ("ids", "idx", "doc")}
+                files["idx"].write(np.zeros(1, "<u8"))
+                width = b.column(1)[0].as_py()
+            data = b.column(2)
+            edges = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(b) + 1].astype(np.int64)
+            if edges[-1] > edges[0]:
+                files["ids"].write(np.frombuffer(data.buffers()[2], np.uint8)[edges[0] : edges[-1]])
+            ends = n_ids + (edges[1:] - edges[0]) // width
+            files["idx"].write(ends.astype("<u8"))
+            d = b.column(0)
+            files["doc"].write(d.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+            if d.null_count:
+                nil.append(n_docs + np.flatnonzero(d.is_null().to_numpy(zero_copy_only=False)))
+            n_docs, n_ids = n_docs + len(b), int(ends[-1])
+        if files:
+            if nil:
+                files["nil"] = _Out(f"{path}.nil")
+                files["nil"].write(np.concatenate(nil).astype("<u8"))
+            for f in files.values():
+                f.close()
             yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(n)], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64()),
-                "n_null": pa.array([nulls], pa.int64()), "width": pa.array([enc.width.itemsize], pa.int32()), "path": [path]})
-        del enc, ids, counts, docs_
+                "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64()),
+                "n_null": pa.array([sum(map(len, nil))], pa.int64()), "width": pa.array([width], pa.int32()), "path": [path]})
         lean()
 
-    made = ordered.select("doc_id", "text").mapInArrow(encode, "shard int, n_docs long, n_ids long, n_null long, width int, path string")
+    made = ordered.select("doc_id", "width", "ids").mapInArrow(write, "shard int, n_docs long, n_ids long, n_null long, width int, path string")
     table, base = [], 0
     for r in sorted(made.collect()):  # a row per shard
         table.append((r.shard, base, r.n_docs, r.n_ids, r.n_null, r.width, r.path))
@@ -221,16 +294,20 @@ def read_tokens(table: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids = _map(r["path"] + ".ids", f"<u{r['width']}")
-                idx = _map(r["path"] + ".idx", "<u8").astype(np.int64)
-                doc = _map(r["path"] + ".doc", "<i8")
-                for a in range(0, r["n_docs"], 10_000):
-                    z = min(a + 10_000, r["n_docs"])
-                    crc = [zlib.crc32(ids[idx[i] : idx[i + 1]].astype("<u4").tobytes()) for i in range(a, z)]
+                ids, idx, doc = (_In(f"{r['path']}.{k}", t) for k, t in (("ids", f"<u{r['width']}"), ("idx", "<u8"), ("doc", "<i8")))
+                nil = _In(r["path"] + ".nil", "<u8")[0 : r["n_null"]] if r["n_null"] else np.zeros(0, "<u8")
+                a = 0
+                while a < r["n_docs"]:
+                    edges = np.asarray(idx[a : min(a + 10_000, r["n_docs"]) + 1]).astype(np.int64)
+                    z = a + max(1, int(np.searchsorted(edges, edges[0] + READ_IDS, side="right")) - 1)
+                    edges = edges[: z - a + 1]
+                    here = ids[int(edges[0]) : int(edges[-1])]
+                    crc = [zlib.crc32(here[i - edges[0] : j - edges[0]].astype("<u4").tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(np.asarray(doc[a:z]), pa.int64(), mask=np.arange(a, z) < r["n_null"]),
-                        "start": pa.array(idx[a:z] + r["base"], pa.int64()), "n_tokens": pa.array(idx[a + 1 : z + 1] - idx[a:z], pa.int64()),
+                        "doc_id": pa.array(np.asarray(doc[a:z]), pa.int64(), mask=np.isin(np.arange(a, z), nil)),
+                        "start": pa.array(edges[:-1] + r["base"], pa.int64()), "n_tokens": pa.array(np.diff(edges), pa.int64()),
                         "ids_crc32": pa.array(crc, pa.int64())})
+                    a = z
 
     spark: SparkSession = table.sparkSession
     spread = table.repartition(max(1, spark.sparkContext.defaultParallelism), "shard")

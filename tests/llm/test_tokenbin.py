@@ -81,3 +81,21 @@ def test_ties(spark):
     rows = [(1, "b"), (1, "a"), (1, "a"), (2, "c")]
     a, b = (sorted(map(tuple, T.token_binary(spark.createDataFrame(r, S)).collect()), key=key) for r in (rows, rows[::-1]))
     assert a == b and [r[0] for r in a] == [1, 1, 1, 2]
+
+
+def test_shuffled(spark):
+    """Copies of a document are not neighbours, offsets have no gaps, and the order does not depend on the input's."""
+    rows = [(i % 40, f"text {i % 40} " + "word " * (i % 40)) for i in range(400)] + [(None, "none")] * 3
+    make = lambda r, n: T.token_binary(spark.createDataFrame(r, S).repartition(n), shuffled=True, shards=3).collect()
+    got, again = (sorted(map(tuple, make(r, n)), key=key) for r, n in ((rows, 5), (rows[::-1], 2)))
+    assert got == again and len(got) == len(rows)
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+    want = {(r[0], r[2], r[3]) for r in reference(rows)}
+    assert {(r[0], r[2], r[3]) for r in got} == want and sorted(str(r[0]) for r in got) == sorted(str(i) for i, _ in rows)
+    assert sum(a[0] == b[0] for a, b in zip(got, got[1:])) < 40  # a fortieth of neighbours by chance; 360 in order of ids
+
+
+def test_long_text_and_clashing_columns(spark):
+    rows = [(1, "Many words, and more. " * 40000), (2, "b")]
+    df = spark.createDataFrame(rows, S).withColumns({"ids": F.lit(1), "n": F.lit(2), "width": F.lit(3), "h": F.lit(4)})
+    assert sorted((tuple(r) for r in T.token_binary(df).collect()), key=key) == reference(rows)
