@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``.
+
+Null and empty texts, null ids, repeated rows and very long texts pass every
+stage as its operator's docstring says: null and empty texts are scored like
+any other, are one class of near duplicates, hold no benchmark passage, are
+mixed as rows of their source and encoded as the end id alone.  Further columns
+of ``documents`` pass through all stages but the last.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import dartminhash, decontam, mixing, rulefit, tokenbin
-from keyloom.llm.common import materialize
+from keyloom.llm.common import drop_table, materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents, read back: a row per document."""
-    return tokenbin.token_binary(docs)
+    """Token files of the documents in shuffled order, copies apart, read back: a row per document."""
+    return tokenbin.token_binary(docs, shuffled=True)
 
 
 STAGES = [
@@ -57,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        drop_table(last)  # nothing reads it any more
     return STAGES[-1][1](spark, docs, sf_dir)
