@@ -22,24 +22,23 @@ def _turn(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def th64(keys: list[bytes], seed: int = 0) -> np.ndarray:
-    """Hashes of byte strings, as uint64."""
+    """Hashes of byte strings, as uint64; memory grows with the bytes of all, not with the longest."""
     r = np.uint64(TH64_FACTOR)
     size = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
-    width = int(size.max()) // 8 * 8 + 8 if len(keys) else 8
-    rows = np.frombuffer(b"".join(k.ljust(width, b"\0") for k in keys), dtype=np.uint8).reshape(len(keys), width)
-    lanes = rows.view("<u8")
+    start = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(keys) + bytes(8), dtype=np.uint8)
+    words = np.ndarray(len(flat) - 7, dtype="<u8", buffer=flat, strides=(1,))  # the 8 bytes from every place on
     h = np.full(len(keys), seed % 2**64, dtype=np.uint64)
-    for w in range(width // 8):
-        on = size >= 8 * w + 8
-        if not on.any():
-            break
-        h[on] = _turn((h[on] * r) ^ _turn(lanes[on, w] * r, 31), 31)
+    on = np.flatnonzero(size >= 8)
+    for w in range(int(size.max(initial=0)) // 8):
+        h[on] = _turn((h[on] * r) ^ _turn(words[start[on] + 8 * w] * r, 31), 31)
+        on = on[size[on] >= 8 * w + 16]
     for b in range(7):
         at = size // 8 * 8 + b
-        on = at < size
-        if not on.any():
+        on = np.flatnonzero(at < size)
+        if not len(on):
             break
-        h[on] = (h[on] * r) ^ rows[on, at[on]].astype(np.uint64)
+        h[on] = (h[on] * r) ^ flat[start[on] + at[on]].astype(np.uint64)
     h = h * r + size.astype(np.uint64)
     for _ in range(3):
         h = (h ^ (h >> np.uint64(31))) * r
@@ -54,10 +53,11 @@ def mix13(x: np.ndarray) -> np.ndarray:
 
 
 def hash_col(key: Column | str, seed: int = 0) -> Column:
-    """th64 of a string or binary column, as a long of the same bits."""
+    """th64 of a string or binary column, as a long of the same bits; null of null."""
     @F.pandas_udf("long")
     def hashed(k: pd.Series) -> pd.Series:
-        return pd.Series(th64([x.encode() if isinstance(x, str) else bytes(x) for x in k], seed).view(np.int64))
+        h = th64([b"" if x is None else x.encode() if isinstance(x, str) else bytes(x) for x in k], seed).view(np.int64)
+        return pd.Series(pd.arrays.IntegerArray(h, k.isna().to_numpy()))
 
     return hashed(key)
 
@@ -65,7 +65,8 @@ def hash_col(key: Column | str, seed: int = 0) -> Column:
 def mix_col(x: Column | str) -> Column:
     @F.pandas_udf("long")
     def mixed(v: pd.Series) -> pd.Series:
-        return pd.Series(mix13(v.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+        none = v.isna().to_numpy()
+        return pd.Series(pd.arrays.IntegerArray(mix13(v.astype("Int64").fillna(0).to_numpy(np.int64).view(np.uint64)).view(np.int64), none))
 
     return mixed(x)
 

@@ -44,21 +44,37 @@ class CacheTable:
         return self._with(out.withColumn("time_ns", when).select(*COLUMNS))
 
     def update(self, requests: DataFrame, now: int, value: Callable[[Column], Column] | None = None, flags: Column | None = None,
-               expires: Column | None = None, where: Column | None = None) -> CacheTable:
-        """Read-modify-write of the live rows asked for: new value, flags or expiry; where false or null the row is left."""
+               expires: Column | None = None, where: Column | None = None, counters: DataFrame | None = None) -> CacheTable:
+        """Read-modify-write of the live rows asked for: new value, flags or expiry; where false or null the row is left.
+
+        With ``usecas`` every row written takes its shard's next CAS number, by key.
+        """
         asked = requests.select("key").distinct().withColumn("_asked", F.lit(True))
         out = self.state.join(asked, "key", "left").filter(F.col("_asked").isNull() | E.alive("expires_ns", now))
         hit = F.coalesce("_asked", F.lit(False)) & (F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))
+        if self.config.usecas:
+            numbers = self._numbered(out.filter(hit).select("key"), "key", False, counters).select("key", F.col("number").alias("_next"))
+            out = out.join(numbers, "key", "left")
+        cas = F.coalesce("_next", "cas").alias("cas") if self.config.usecas else F.col("cas")
         new = {"value": value(F.col("value")) if value else F.col("value"), "flags": flags if flags is not None else F.col("flags"), "expires_ns": expires if expires is not None else F.col("expires_ns")}
         return self._with(out.select("key", F.when(hit, new["value"]).otherwise(F.col("value")).alias("value"),
                                      F.when(F.coalesce("_asked", F.lit(False)), F.greatest("time_ns", F.lit(now))).otherwise(F.col("time_ns")).alias("time_ns"),
                                      F.when(hit, new["expires_ns"]).otherwise(F.col("expires_ns")).alias("expires_ns"),
-                                     F.when(hit, new["flags"]).otherwise(F.col("flags")).alias("flags"), "cas"))
+                                     F.when(hit, new["flags"]).otherwise(F.col("flags")).alias("flags"), cas))
 
     def store(self, writes: DataFrame, now: int, nx: bool = False, xx: bool = False, casop: bool = False, keepttl: bool = False,
-              allow: Column | None = None, lowmem: bool = False) -> DataFrame:
+              allow: Column | None = None, lowmem: bool = False, restore_cas: bool = False, order: str = "key", counters: DataFrame | None = None) -> DataFrame:
         """Upsert; returns the outcome: every key of table and writes with its row afterwards, ``present`` and ``result``.
 
+        With ``usecas`` a row stored gets a new CAS number: every attempt takes
+        its shard's next one, in the ``order`` of a column of ``writes``, whether
+        it succeeds or not.  ``casop`` compares the row's number with the
+        request's, so a number that has been used up never matches again.  With
+        ``restore_cas`` a request's number, if not 0, is kept and raises the
+        shard's counter to it.  ``counters`` (shard, cas) are where the shards
+        stand, see :meth:`counters_after`; without it, at the largest number of
+        their rows.  Without ``usecas`` rows have the number 0.
+
         ``writes``: key, value, and optionally flags, ttl_ns, expires_ns, cas;
         one row per key.  ``result`` is Inserted, Replaced, Found, NotFound,
         Canceled or OutOfMemory, null for keys not written.  ``allow`` is tested where a
@@ -67,7 +83,11 @@ class CacheTable:
         have = {c.lower() for c in writes.columns}
         opt = {c: (F.col(c).cast("bigint") if c in have else F.lit(0).cast("bigint")) for c in ("flags", "ttl_ns", "expires_ns", "cas")}
         new = writes.select("key", F.col("value").alias("n_value"), opt["flags"].alias("n_flags"), E.resolve_expires(F.lit(now), opt["ttl_ns"], opt["expires_ns"]).alias("n_expires"),
-                            opt["cas"].alias("n_cas"), F.lit(True).alias("_w"))
+                            opt["cas"].alias("n_cas"), F.lit(True).alias("_w"), F.col(order).alias("_order"))
+        if self.config.usecas:
+            new = self._numbered(new.withColumn("_cas", F.col("n_cas")), "_order", restore_cas, counters)
+        else:
+            new = new.withColumn("number", F.lit(0).cast("bigint"))
         old = self.state.select("key", *(F.col(c).alias(f"o_{c}") for c in COLUMNS[1:]), F.lit(True).alias("_o"))
         both = old.join(new, "key", "full_outer")
         written, had = F.coalesce("_w", F.lit(False)), F.coalesce("_o", F.lit(False))
@@ -96,7 +116,7 @@ class CacheTable:
 
         return out.withColumn("present", stored | (had & ~gone)).select(
             "key", pick(F.col("n_value"), "value"), pick(F.lit(now).cast("bigint"), "time_ns"), pick(kept, "expires_ns"), pick(F.col("n_flags"), "flags"),
-            pick(F.col("n_cas"), "cas"), "present", "result")
+            pick(F.col("number"), "cas"), "present", "result")
 
     def stored(self, writes: DataFrame, now: int, **options) -> CacheTable:
         """The state after :meth:`store`."""
@@ -165,14 +185,29 @@ class CacheTable:
         return rows.orderBy("shard", "key").limit(n)
 
     # --- CAS numbers ------------------------------------------------------
+    def _numbered(self, writes: DataFrame, order: str, restore: bool, counters: DataFrame | None) -> DataFrame:
+        """``writes`` with the ``number`` that each takes in its shard; a ``_cas`` that is restored is kept and lifts those after it."""
+        base = (self.restored_cas() if counters is None else counters).select(F.col("shard").alias("_shard"), F.col("cas").alias("_base"))
+        rows = writes.withColumn("_shard", shard_of(hash_col("key", self.config.seed), self.config.nshards)).join(base, "_shard", "left")
+        kept = F.coalesce(F.col("_cas") != 0, F.lit(False)) if restore else F.lit(False)
+        so_far = Window.partitionBy("_shard").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_n", F.sum(F.when(kept, 0).otherwise(1)).over(so_far))
+        first = F.coalesce("_base", F.lit(1).cast("bigint"))
+        lifted = F.greatest(first, F.max(F.when(kept, F.col("_cas") - F.col("_n"))).over(so_far)) if restore else first
+        number = F.when(kept, F.col("_cas")).otherwise(F.col("_n") + lifted) if restore else F.col("_n") + lifted
+        return rows.withColumn("number", number.cast("bigint")).drop("_n", "_base", "_cas")
+
     def assign_cas(self, writes: DataFrame, order: str, first: DataFrame | None = None) -> DataFrame:
-        """``writes`` with the CAS number each store consumes: from 2 on in each shard, or after ``first`` (shard, cas)."""
-        rows = writes.withColumn("shard", shard_of(hash_col("key", self.config.seed), self.config.nshards))
-        n = F.count(F.lit(1)).over(Window.partitionBy("shard").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-        if first is None:
-            return rows.withColumn("cas", (n + 1).cast("bigint"))
-        base = first.select("shard", F.col("cas").alias("_first"))
-        return rows.join(base, "shard", "left").withColumn("cas", (n + F.coalesce("_first", F.lit(1))).cast("bigint")).drop("_first")
+        """``writes`` with the CAS number each store takes: from 2 on in each shard, or after ``first`` (shard, cas)."""
+        none = writes.sparkSession.createDataFrame([], "shard int, cas long")
+        return self._numbered(writes.drop("cas"), order, False, none if first is None else first).withColumnsRenamed({"_shard": "shard", "number": "cas"})
+
+    def counters_after(self, writes: DataFrame, restore_cas: bool = False, order: str = "key", counters: DataFrame | None = None) -> DataFrame:
+        """shard, cas: where the shards' counters stand after :meth:`store` of ``writes``."""
+        cas = F.col("cas").cast("bigint") if "cas" in {c.lower() for c in writes.columns} else F.lit(0).cast("bigint")
+        taken = self._numbered(writes.select("key", cas.alias("_cas"), F.col(order).alias("_order")), "_order", restore_cas, counters)
+        both = taken.select(F.col("_shard").alias("shard"), F.col("number").alias("cas")).unionByName((self.restored_cas() if counters is None else counters).select("shard", "cas"))
+        return both.groupBy("shard").agg(F.max("cas").alias("cas"))
 
     def restored_cas(self) -> DataFrame:
         """shard, cas: the counters after restoring entries with their numbers."""

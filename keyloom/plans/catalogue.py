@@ -62,16 +62,21 @@ def load_update(s, d):
     return _kv(s, d).update(I.req(s, d), NOW, value=F.upper, flags=F.col("flags") + 100, expires=F.lit(0).cast("bigint"), where=F.col("flags") % 2 == 0).state
 
 
-def _outcome(result: str, expires: str = "") -> str:
-    """SQL of a store's outcome; ``result`` in terms of live, o (old row or null), w (write or null)."""
+#: Numbers that the writes of a table with CAS numbers take: each the next of its shard, by key.
+NUMBERS = f"""num AS (SELECT u.key, coalesce(b.cas, 1) + row_number() OVER (PARTITION BY u.shard ORDER BY u.key) AS cas FROM (SELECT key, {SHARD} AS shard FROM upd) u
+ LEFT JOIN (SELECT {SHARD} AS shard, greatest(1, max(cas)) AS cas FROM kv GROUP BY 1) b ON b.shard = u.shard)"""
+
+
+def _outcome(result: str, expires: str = "", cas: str = "0", ctes: str = "") -> str:
+    """SQL of a store's outcome; ``result`` in terms of live, o (old row or null), w (write or null); ``cas`` is a stored row's number."""
     new_expires = f"CASE WHEN w.ttl_ns > 0 THEN {NOW} + w.ttl_ns ELSE 0 END"
     expires = expires.replace("NEW", new_expires) or new_expires
-    return f"""WITH {I.KV}, {I.UPD}, j AS (SELECT coalesce(o.key, w.key) AS key, o.value AS ov, o.time_ns AS ot, o.expires_ns AS oe, o.flags AS fl, o.cas AS oc, w.value AS nv, w.flags AS nf, w.cas AS nc,
+    return f"""WITH {I.KV}, {I.UPD}, {ctes} j AS (SELECT coalesce(o.key, w.key) AS key, o.value AS ov, o.time_ns AS ot, o.expires_ns AS oe, o.flags AS fl, o.cas AS oc, w.value AS nv, w.flags AS nf, w.cas AS nc,
  o.key IS NOT NULL AS had, w.key IS NOT NULL AS wr, o.key IS NOT NULL AND (o.expires_ns = 0 OR o.expires_ns > {NOW}) AS live,
- ({expires})::BIGINT AS ne FROM kv o FULL JOIN upd w ON o.key = w.key),
+ ({expires})::BIGINT AS ne, {cas} AS nn FROM kv o FULL JOIN upd w ON o.key = w.key),
 k AS (SELECT *, CASE WHEN wr THEN {result} END AS result FROM j), q AS (SELECT *, coalesce(result IN ('Inserted', 'Replaced'), false) AS st FROM k)
 SELECT key, CASE WHEN st THEN nv ELSE ov END AS value, CASE WHEN st THEN {NOW} ELSE ot END AS time_ns, CASE WHEN st THEN ne ELSE oe END AS expires_ns, CASE WHEN st THEN nf ELSE fl END AS flags,
- CASE WHEN st THEN nc ELSE oc END AS cas, st OR (had AND NOT (wr AND NOT live)) AS present, result FROM q"""
+ CASE WHEN st THEN nn ELSE oc END::BIGINT AS cas, st OR (had AND NOT (wr AND NOT live)) AS present, result FROM q"""
 
 
 @query(_outcome("CASE WHEN live THEN 'Replaced' ELSE 'Inserted' END"))
@@ -89,7 +94,10 @@ def store_xx(s, d):
     return _kv(s, d).store(I.upd(s, d), NOW, xx=True)
 
 
-@query(_outcome("CASE WHEN live AND oc = nc THEN 'Replaced' WHEN live THEN 'Found' ELSE 'NotFound' END"))
+NUMBERED = {"cas": "(SELECT num.cas FROM num WHERE num.key = w.key)", "ctes": NUMBERS + ","}
+
+
+@query(_outcome("CASE WHEN live AND oc = nc THEN 'Replaced' WHEN live THEN 'Found' ELSE 'NotFound' END", **NUMBERED))
 def store_cas(s, d):
     return _kv(s, d, usecas=True).store(I.upd(s, d), NOW, casop=True)
 
@@ -450,7 +458,7 @@ def aof_replay_stats(s, d):
     return R.aof_stats(I.aof(s, d), LOG_NOW)
 
 
-@query(f"WITH {I.LOG}, {I.AOF}, {AOF_STATE} SELECT 1 AS kind, key, value, flags, expires_ns AS expire_unix_ns FROM st")
+@query(f"WITH {I.LOG}, {I.AOF}, {AOF_STATE} SELECT 1 AS kind, key, value, flags, 0::BIGINT AS cas, expires_ns AS expire_unix_ns FROM st")
 def aof_rewrite(s, d):
     return R.aof_rewrite(I.aof(s, d), LOG_NOW)
 
@@ -502,3 +510,6 @@ def aof_roundtrip(s, d):
     aof.append(I.aof(s, d), path)
     back = aof.read(s, path).filter("crc_ok").select("pos", "kind", F.col("key").cast("string").alias("key"), F.when(F.col("kind") == 1, F.col("value").cast("string")).alias("value"), "flags", "expire_unix_ns")
     return R.aof_state(back, LOG_NOW)
+
+
+from keyloom.plans import lifecycle  # noqa: E402, F401  registers its queries beside these

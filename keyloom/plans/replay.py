@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import expr as E
+from keyloom.operators.state import CacheTable
 from keyloom.plans import model
-from keyloom.schema import FOLD, RESULT
+from keyloom.schema import FOLD, RESULT, CacheConfig
 
 #: Commands of a key up to which the fold gathers them in one array.
 ARRAY_LIMIT = 50_000
@@ -151,12 +152,15 @@ def total_inserts(log: DataFrame) -> DataFrame:
     return replay(log).agg(F.coalesce(F.sum("total"), F.lit(0)).cast("bigint").alias("total"))
 
 
-def aof_state(aof: DataFrame, now: int) -> DataFrame:
-    """key, value, flags, expires_ns after an append-only log (pos, kind 1 set / 2 del / 3 expire, key, value, flags, expire_unix_ns), judged at ``now``.
+def aof_state(aof: DataFrame, now: int, config: CacheConfig | None = None) -> DataFrame:
+    """key, value, flags, expires_ns (and cas, if ``config`` uses it) after an append-only log (pos, kind 1 set / 2 del / 3 expire, key, value, flags, expire_unix_ns), judged at ``now``.
 
     Sets already expired are dropped first, so an older one may show again.  Then
     the last set or delete of a key decides (an expire that is past or 0 is a
     delete), and the last live expire after it sets the expiry.
+
+    A set keeps its recorded CAS number and lifts its shard's counter to it; one
+    without, and an expire of a key that is there, take the shard's next number.
     """
     e = F.col("expire_unix_ns")
     live = aof.filter(~((F.col("kind") == 1) & (e > 0) & (e <= now)))
@@ -164,7 +168,19 @@ def aof_state(aof: DataFrame, now: int) -> DataFrame:
     d = live.withColumn("d", decides)
     last = F.max_by(F.when(F.col("d") != "exp", F.struct("d", "value", "flags", "expire_unix_ns")), F.when(F.col("d") != "exp", F.col("pos"))).alias("l")
     out = d.groupBy("key").agg(last, F.max(F.when(F.col("d") != "exp", F.col("pos"))).alias("at"), F.max_by(F.when(F.col("d") == "exp", e), F.when(F.col("d") == "exp", F.col("pos"))).alias("x"), F.max(F.when(F.col("d") == "exp", F.col("pos"))).alias("xat"))
-    return out.filter("l.d = 'set'").select("key", "l.value", "l.flags", F.when(F.col("xat") > F.col("at"), F.col("x")).otherwise(F.col("l.expire_unix_ns")).alias("expires_ns"))
+    state = out.filter("l.d = 'set'").select("key", "l.value", "l.flags", F.when(F.col("xat") > F.col("at"), F.col("x")).otherwise(F.col("l.expire_unix_ns")).alias("expires_ns"))
+    return state.join(_aof_numbers(d, config), "key") if config is not None and config.usecas else state
+
+
+def _aof_numbers(judged: DataFrame, config: CacheConfig) -> DataFrame:
+    """key, cas: the last number that each key's records took."""
+    before = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    there = F.last(F.when(F.col("d") != "exp", F.col("d")), ignorenulls=True).over(before)
+    took = judged.withColumn("there", there).filter((F.col("d") == "set") | ((F.col("d") == "exp") & (F.col("there") == "set")))
+    took = took.select("key", "pos", F.when(F.col("d") == "set", F.col("cas")).otherwise(0).cast("bigint").alias("_cas"))
+    none = judged.sparkSession.createDataFrame([], "shard int, cas long")
+    numbers = CacheTable(judged, config)._numbered(took, "pos", True, none)
+    return numbers.groupBy("key").agg(F.max_by("number", "pos").alias("cas"))
 
 
 def aof_stats(aof: DataFrame, now: int) -> DataFrame:
@@ -175,9 +191,11 @@ def aof_stats(aof: DataFrame, now: int) -> DataFrame:
     return aof.agg(F.count_if(~skipped & ~deleted).cast("bigint").alias("applied"), F.count_if(skipped).cast("bigint").alias("skipped"), F.count_if(deleted).cast("bigint").alias("deleted"))
 
 
-def aof_rewrite(aof: DataFrame, now: int) -> DataFrame:
-    """The compacted log: one set per live key."""
-    return aof_state(aof, now).select(F.lit(1).alias("kind"), "key", "value", "flags", F.col("expires_ns").alias("expire_unix_ns"))
+def aof_rewrite(aof: DataFrame, now: int, config: CacheConfig | None = None) -> DataFrame:
+    """The compacted log: one set per live key, with its CAS number if ``config`` uses it (else 0)."""
+    state = aof_state(aof, now, config)
+    cas = F.col("cas") if "cas" in state.columns else F.lit(0).cast("bigint").alias("cas")
+    return state.select(F.lit(1).alias("kind"), "key", "value", "flags", cas, F.col("expires_ns").alias("expire_unix_ns"))
 
 
 def aof_should_rewrite(current: Column, base: Column, percentage: int = 100, min_size: int = 64 * 1024 * 1024) -> Column:

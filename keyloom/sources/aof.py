@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from keyloom.schema import AOF
+from keyloom.schema import AOF, CacheConfig
 from keyloom.sources import files
 
 # Fixed values of the format; numbers are little-endian.
-MAGIC = bytes.fromhex("43 52 55 43 41 4F 46 00")
+MAGIC = b"CRUCAOF\0"
 VERSION = 1
 HEADER, RECORD = files.Layout("<8sII"), files.Layout("<BIIIQQI")
 SET, DEL, EXPIRE = 1, 2, 3
@@ -136,12 +136,12 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.read.format("kv_aof").option("path", path).option("strict", str(strict)).load()
 
 
-def rewrite(spark: SparkSession, path: str, out: str, now: int) -> None:
-    """Compact a log into a fresh folder: one set per live key."""
+def rewrite(spark: SparkSession, path: str, out: str, now: int, config: CacheConfig | None = None) -> None:
+    """Compact a log into a fresh folder: one set per live key, with its CAS number where ``config`` uses them."""
     from keyloom.plans.replay import aof_rewrite
 
-    small = aof_rewrite(read(spark, path), now)
-    append(small.select(F.monotonically_increasing_id().alias("pos"), "kind", "key", "value", "flags", F.lit(0).cast("bigint").alias("cas"), "expire_unix_ns"), out)
+    small = aof_rewrite(read(spark, path), now, config)
+    append(small.select(F.monotonically_increasing_id().alias("pos"), "kind", "key", "value", "flags", "cas", "expire_unix_ns"), out)
 
 
 def startup(spark: SparkSession, aof_path: str | None, snapshot_path: str | None) -> str:

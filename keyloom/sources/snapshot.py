@@ -22,9 +22,9 @@ from keyloom.schema import SNAPSHOT
 from keyloom.sources import files
 
 # Fixed values of the format; numbers are little-endian.
-MAGIC = bytes.fromhex("43 52 55 43 49 42 4C 00")
+MAGIC = b"CRUCIBL\0"
 VERSION, LZ4, FLAG_CAS = 2, 1, 1
-TAG = bytes.fromhex("43 52 55 43")
+TAG = b"CRUC"
 HEADER, BLOCK, RECORD = files.Layout("<8sIIQI"), files.Layout("<4sIII"), files.Layout("<IIQIQ")
 BLOCK_SIZE = 1024 * 1024
 

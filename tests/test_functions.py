@@ -61,3 +61,16 @@ def test_saturation_and_parsers(spark):
                    expr.parse_bool(F.lit("YES")).alias("h"), expr.parse_bool(F.lit("maybe")).alias("i"), expr.parse_fsync(F.lit("EverySec")).alias("j"), expr.parse_long(F.lit("+12")).alias("k"), expr.parse_long(F.lit("1_0")).alias("l"),
                    expr.parse_long(F.lit("9" * 30)).alias("m")).first()
     assert tuple(r) == (big, -big - 1, -2, 1536, None, 500, None, True, None, "everysec", 12, None, None)
+
+
+def test_hash_of_nulls_and_a_long_key(spark):
+    """A null key has no hash; one long key among many costs its own bytes only."""
+    from keyloom.functions import hashing as H
+
+    keys = [b"", b"a", b"12345678", b"x" * 1_000_000] + [f"key:{i}".encode() for i in range(5000)]
+    alone = [int(H.th64([k], 3)[0]) for k in keys[:50]]
+    assert H.th64(keys, 3).tolist()[:50] == alone
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b" * 1000)], "id int, key string")
+    got = {r.id: r.h for r in rows.select("id", H.hash_col("key").alias("h")).collect()}
+    assert got[2] is None and got[1] == int(H.th64([b"a"]).view("i8")[0]) and got[3] == int(H.th64([b"b" * 1000]).view("i8")[0])
+    assert {r.id: r.m is None for r in spark.createDataFrame([(1, 5), (2, None)], "id int, x long").select("id", H.mix_col("x").alias("m")).collect()} == {1: False, 2: True}
