@@ -1,8 +1,9 @@
 """Token ids in flat unsigned integer files, with 64-bit document offsets.
 
-Texts are encoded where they are read; their ids are ranged and sorted by
-document id, or by a hash where the corpus is to stay shuffled.  Each range
-becomes one shard of three files: ``N.ids`` (little-endian unsigned integers,
+Texts are ranged and sorted by document id and encoded there; where the corpus
+is to stay shuffled, texts are encoded where they are read, each copy once, and
+their ids are ranged and sorted by a hash.  Each range becomes one shard of
+three files: ``N.ids`` (little-endian unsigned integers,
 as narrow as the vocabulary allows: 16 or 32 bits), ``N.idx`` (unsigned 64-bit
 offsets of its documents in ids of the shard, one more than documents) and
 ``N.doc`` (64-bit document ids); where documents have no id, ``N.nil`` lists
@@ -21,7 +22,7 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import each, lean, materialize, scratch_path, text_of
+from keyloom.llm.common import drop_table, each, lean, materialize, scratch_path, text_of
 
 END_ID = 2
 #: Bytes of text encoded at once; a longer text is a batch of its own.
@@ -38,7 +39,7 @@ BATCH_BYTES = 2_000_000
 MEMORY = 64_000_000
 #: What a piece costs besides its letters.
 PIECE = 110
-#: Bytes of ids in a shard, about.
+#: Bytes of text or ids in a shard, about.
 SHARD_BYTES = 256_000_000
 #: Ids that a reader handles at once; a longer document is handled alone.
 READ_IDS = 2_000_000
@@ -190,8 +191,11 @@ def _map(uri: str, kind: str) -> np.ndarray:
     return _In(uri, kind).all
 
 
-def _coded(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``rows`` (doc_id, h, n, text) with ids instead of the text: whole documents with their end ids, ``width`` bytes an id."""
+CODED = "doc_id long, h long, n long, n_ids long, width int, ids binary"
+
+
+def _encoder(tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of doc_id, h, n, text with ids instead of the text: whole documents with their end ids, ``width`` bytes an id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -212,7 +216,7 @@ def _coded(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         del enc
         lean()
 
-    return rows.select("doc_id", "h", "n", "text").mapInArrow(encode, "doc_id long, h long, n long, n_ids long, width int, ids binary")
+    return encode
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None,
@@ -229,18 +233,20 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     h = F.xxhash64("text").alias("h")
+    encode = _encoder(tokenizer, end_id)
+    # few large shards: what a task has learnt of its words serves more text
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     if shuffled:  # copies are counted before they are moved, and encoded once
         rows = rows.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).select("doc_id", h, "n", "text")
+        coded = materialize(rows.mapInArrow(encode, CODED), "coded")
+        size, by = F.col("n") * F.col("n_ids") * F.col("width"), ["at", "doc_id", "h"]
+        rows = each(coded, "n", "nr")
+        rows = rows.withColumn("at", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "h", "nr"))
     else:
-        rows = rows.select("doc_id", h, F.lit(1).cast("long").alias("n"), "text")
-    coded = materialize(_coded(rows, tokenizer, end_id), "coded")
-    total = coded.agg(F.coalesce(F.sum(F.col("n") * F.col("n_ids") * F.col("width")), F.lit(0))).first()[0]
-    parts = shards or max(spark.sparkContext.defaultParallelism, -(-int(total) // SHARD_BYTES))
-    by = ["doc_id", "h"]
-    if shuffled:
-        coded = each(coded, "n", "nr")
-        coded, by = coded.withColumn("at", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "h", "nr")), ["at", "doc_id", "h"]
-    ordered = coded.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+        coded = rows = rows.select("doc_id", h, F.lit(1).cast("long").alias("n"), "text")
+        size, by = F.octet_length("text"), ["doc_id", "h"]
+    parts = shards or max(least, -(-int(coded.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // SHARD_BYTES))
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -254,6 +260,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
         for b in batches:
             if not len(b):
                 continue
+            b = b.select(["doc_id", "width", "ids"])
             if not files:
                 files = {k: _Out(f"{path}.{k}") for k in ("ids", "idx", "doc")}
                 files["idx"].write(np.zeros(1, "<u8"))
@@ -280,11 +287,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
                 "n_null": pa.array([sum(map(len, nil))], pa.int64()), "width": pa.array([width], pa.int32()), "path": [path]})
         lean()
 
-    made = ordered.select("doc_id", "width", "ids").mapInArrow(write, "shard int, n_docs long, n_ids long, n_null long, width int, path string")
+    made = ordered.select("doc_id", "width", "ids") if shuffled else ordered.select("doc_id", "h", "n", "text")
+    made = made.mapInArrow(write if shuffled else lambda batches: write(encode(batches)), "shard int, n_docs long, n_ids long, n_null long, width int, path string")
     table, base = [], 0
     for r in sorted(made.collect()):  # a row per shard
         table.append((r.shard, base, r.n_docs, r.n_ids, r.n_null, r.width, r.path))
         base += r.n_ids
+    drop_table(coded)
     return spark.createDataFrame(table, "shard int, base long, n_docs long, n_ids long, n_null long, width int, path string")
 
 
