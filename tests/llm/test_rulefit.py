@@ -72,3 +72,27 @@ def test_training_keeps_few_rules():
     assert np.mean(got == ((new[:, 0] > 0.3) & (new[:, 1] <= 0.5))) > 0.96
     assert 0 < len(m.rules) < rulefit.TREES * 2**rulefit.DEPTH
     assert rulefit.train(x[:0], y[:0], list("abcde")).rules == [] and rulefit.train(x, np.ones(800), list("abcde")).bias > 3
+
+
+def test_scores_outside_spark(spark):
+    """The compiled column against the same rules evaluated with numpy, over whole documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = rulefit.fit_quality(docs, labels)
+    stats = docs.select("doc_id", *(v.alias(k) for k, v in rulefit.statistics(F.coalesce("text", F.lit(""))).items())).toPandas()
+    z = np.full(len(stats), model.bias)
+    for r in model.rules:
+        holds = np.ones(len(stats), dtype=bool)
+        for name, above, cut in r.terms:
+            holds &= (stats[name].to_numpy(float) > cut) == above
+        z += np.where(holds, r.weight, 0.0)
+    got = {r.doc_id: r.score for r in rulefit.quality_scores(docs, labels).collect()}
+    assert model.rules and max(abs(got[i] - 1 / (1 + np.exp(-x))) for i, x in zip(stats["doc_id"], z)) < 1e-9
+
+
+def test_repeated_ids_of_labelled_rows(spark):
+    """The fit depends neither on the order of rows nor on how often they stand there."""
+    docs, labels = corpus(spark, 300)
+    a = rulefit.fit_quality(docs, labels)
+    b = rulefit.fit_quality(docs.unionByName(docs).repartition(7), labels.unionByName(labels).repartition(3))
+    assert a == b

@@ -74,3 +74,24 @@ def test_repositories_and_examples(spark):
     got = {r.doc_id: r for r in secretscan.find_secrets(df, repo_col="repo").collect()}
     assert (got[1].most_owners, got[1].most_repos) == (2, 1)
     assert (got[10].most_owners, got[10].most_repos, got[10].n_live, got[10].n_example, got[10].spans) == (1, 150, 0, 1, "")
+
+
+def test_planted_contexts(spark):
+    """Unseen identifiers in the contexts of known ones are found, all of them, and nothing in other contexts."""
+    rng = random.Random(3)
+    words = [f"w{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    fill = lambda: " ".join(rng.choice(words) for _ in range(6))
+    rows, hidden = [], {}
+    for i in range(60):
+        rows.append((len(rows), f"{fill()} call me on +49 30 {1000000 + i * 37} today {fill()}", "s"))
+        rows.append((len(rows), f"{fill()} write to user{i}@mail.example.com please {fill()}", "s"))
+    for i in range(10):
+        for head, value, tail, kind in ((f"{fill()} call me on ", f"0151 {2000000 + i * 41}", f" today {fill()}", "phone"), (f"{fill()} write to ", f"user{i}@localhost", f" please {fill()}", "email")):
+            hidden[len(rows)] = f"{kind}:{len(head)}:{len(head) + len(value)}"
+            rows.append((len(rows), head + value + tail, "s"))
+    for i in range(80):
+        rows.append((len(rows), f"{fill()} {rng.choice(words)} {30000 + i * 7} {fill()}", "s"))
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, S)).collect()}
+    found = {i: r.spans for i, r in got.items() if r.n_found}
+    right = sum(found.get(i) == x for i, x in hidden.items())
+    assert right == len(hidden) and len(found) == len(hidden)  # recall and precision 1
