@@ -101,6 +101,29 @@ def clear_events(table: CacheTable, now: int) -> DataFrame:
     return table.state.select("key", F.when(E.alive("expires_ns", now), "Cleared").otherwise("Expired").alias("kind"))
 
 
+def sweep_events(table: CacheTable, now: int) -> DataFrame:
+    """key, kind, value: the Expired events of a sweep, one for each dead row."""
+    return table.state.filter(~E.alive("expires_ns", now)).select("key", F.lit("Expired").alias("kind"), "value")
+
+
+def touch_events(table: CacheTable, requests: DataFrame, now: int) -> DataFrame:
+    """key, kind, value: the Expired events of a load, update or delete of ``requests`` (key): the dead rows that they meet."""
+    return sweep_events(table, now).join(requests.select("key").distinct(), "key", "left_semi")
+
+
+def store_events(table: CacheTable, writes: DataFrame, now: int, **options) -> DataFrame:
+    """key, kind, value: what :meth:`CacheTable.store` announces.
+
+    A dead row that a write meets is Expired, with its old value, whatever comes
+    of the write; then the row is Inserted or Replaced, with the new one.  A
+    write that finds no memory comes before any of this and announces nothing.
+    """
+    if options.get("lowmem") and table.config.noevict:
+        return sweep_events(table, now).limit(0)
+    done = table.store(writes, now, **options).filter(F.col("result").isin("Inserted", "Replaced")).select("key", F.col("result").alias("kind"), "value")
+    return touch_events(table, writes, now).unionByName(done)
+
+
 def clear(table: CacheTable) -> CacheTable:
     return CacheTable(table.state.limit(0), table.config)
 

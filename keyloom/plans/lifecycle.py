@@ -123,6 +123,25 @@ def autosweep_tick(s, d):
     return M.autosweep(_kv(s, d), NOW).state
 
 
+# --- events ---------------------------------------------------------------
+DEAD = f"WITH {I.KV}, {I.REQ}, {I.UPD}, dead AS (SELECT key, 'Expired' AS kind, value FROM kv WHERE NOT {ALIVE})"
+
+
+@query(f"{DEAD} SELECT * FROM dead")
+def sweep_events(s, d):
+    return M.sweep_events(_kv(s, d), NOW)
+
+
+@query(f"{DEAD} SELECT * FROM dead WHERE key IN (SELECT key FROM req)")
+def load_events(s, d):
+    return M.touch_events(_kv(s, d), I.req(s, d), NOW)
+
+
+@query(f"{DEAD} SELECT * FROM dead WHERE key IN (SELECT key FROM upd) UNION ALL SELECT upd.key, CASE WHEN kv.key IS NOT NULL AND {ALIVE.replace('expires_ns', 'kv.expires_ns')} THEN 'Replaced' ELSE 'Inserted' END, upd.value FROM upd LEFT JOIN kv ON kv.key = upd.key")
+def store_events(s, d):
+    return M.store_events(_kv(s, d), I.upd(s, d), NOW)
+
+
 # --- administration -------------------------------------------------------
 def _requests(s, words: list[bytes]):
     return s.createDataFrame([(i, NOW + i, bytearray(w)) for i, w in enumerate(words)], "seq long, t_ns long, data binary")
@@ -140,6 +159,32 @@ def http_admin(s, d):
     return serve.http_session(rows).select("seq", "status", "body")
 
 
+def _words(*words: bytes) -> bytes:
+    return b"*%d\r\n" % len(words) + b"".join(b"$%d\r\n%s\r\n" % (len(w), w) for w in words)
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, '+OK'), (1, '+OK'), (2, '+OK'), (3, ':1'), (4, '$-1'), (5, '+OK'), (6, '+OK'), (7, '$1' || chr(13) || chr(10) || '1'), (8, ':96'), (9, ':3'), (10, '-ERR persistence failed'), (11, '-ERR aof disabled'), (12, '+OK')) v(seq, reply)")
+def resp_jobs(s, d):
+    """Saves and loads at their places in a session: what a save wrote is what its load brings back."""
+    from keyloom.sources import snapshot
+    from keyloom.sources.manager import Manager
+
+    words = [(b"SET", b"a", b"1"), (b"SET", b"b", b"2", b"EX", b"100"), (b"SAVE", b"FAST"), (b"DEL", b"a"), (b"GET", b"a"), (b"SET", b"b", b"9"), (b"LOAD",), (b"GET", b"a"), (b"TTL", b"b"), (b"INCR", b"b"),
+             (b"LOAD", b"FROM", f"{snapshot.scratch(s)}/none".encode()), (b"BGREWRITEAOF",), (b"MONITOR",)]
+    rows = s.createDataFrame([(i, NOW + i * NS // 2, bytearray(_words(*w))) for i, w in enumerate(words)], "seq long, t_ns long, data binary")
+    out = serve.resp_session(rows, manager=Manager(snapshot.scratch(s)))
+    return out.select("seq", F.regexp_replace(F.col("reply").cast("string"), "\r\n$", "").alias("reply"))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 201, ''), (1, 200, 'OK'), (2, 200, ''), (3, 200, 'OK'), (4, 200, 'v'), (5, 500, '')) v(seq, status, body)")
+def http_jobs(s, d):
+    from keyloom.sources import snapshot
+    from keyloom.sources.manager import Manager
+
+    rows = _requests(s, [b"POST /k HTTP/1.1\r\nContent-Length: 1\r\n\r\nv"] + [f"{w} HTTP/1.1\r\n\r\n".encode() for w in ("POST /@save", "DELETE /k", "POST /@load", "GET /k", f"POST /@load?path={snapshot.scratch(s)}/none")])
+    return serve.http_session(rows, manager=Manager(snapshot.scratch(s))).select("seq", "status", "body")
+
+
 # --- persistence ----------------------------------------------------------
 ALIVE_ROWS = f"WITH {I.KV} SELECT key, value, expires_ns, flags, cas FROM kv WHERE {ALIVE}"
 
@@ -258,3 +303,14 @@ def stream_aof_tail(s, d):
     S.append_log(stream, out, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     back = aof.read(s, out).select("pos", "kind", F.col("key").cast("string").alias("key"), F.when(F.col("kind") == 1, F.col("value").cast("string")).alias("value"), "flags", "expire_unix_ns")
     return R.aof_state(back, LOG_NOW)
+
+
+@query(f"WITH {I.LOG}, {I.AOF}, {AOF_STATE} SELECT key, value, flags, expires_ns FROM st")
+def stream_aof_read(s, d):
+    """A log's files followed by a stream, and replayed from what it read."""
+    from keyloom.sources import aof, snapshot
+
+    path, base = snapshot.scratch(s), snapshot.scratch(s)
+    aof.append(I.aof(s, d).withColumn("cas", F.lit(0).cast("bigint")), path)
+    back = _run(aof.tail(s, path), base).select("pos", "kind", F.col("key").cast("string").alias("key"), F.when(F.col("kind") == 1, F.col("value").cast("string")).alias("value"), "flags", "expire_unix_ns")
+    return R.aof_state(back, LOG_NOW)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
 import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from keyloom.schema import AOF, CacheConfig
 from keyloom.sources import files
@@ -37,7 +38,11 @@ def decode(data: bytes, strict: bool = True) -> Iterator[tuple]:
         raise AofError("InvalidHeader")
     if HEADER.unpack(data[: HEADER.size])[1] != VERSION:
         raise AofError("UnsupportedVersion")
-    at = HEADER.size
+    yield from records(data, HEADER.size, strict)
+
+
+def records(data: bytes, at: int, strict: bool = True) -> Iterator[tuple]:
+    """As :func:`decode`, from a record's start ``at``."""
     while at + RECORD.size <= len(data):
         kind, k, v, flags, cas, expire, crc = RECORD.unpack_from(data, at)
         body = data[at + RECORD.size : at + RECORD.size + k + v]
@@ -69,6 +74,67 @@ class _Reader(DataSourceReader):
                 yield ((partition.nr << 40) + pos, *rest)
 
 
+class Stretch(InputPartition):
+    def __init__(self, path: str, nr: int, start: int, end: int) -> None:
+        self.path, self.nr, self.start, self.end = path, nr, start, end
+
+
+def whole_end(uri: str, at: int) -> int:
+    """Where the last whole record of a segment ends, from a record's end ``at`` on (0: the segment's start)."""
+    store, path = files.open_store(uri)
+    with store.open_input_file(path) as f:
+        size = f.size()
+        if size < HEADER.size:
+            return 0
+        at = max(at, HEADER.size)
+        while at + RECORD.size <= size:
+            f.seek(at)
+            _, k, v, *_ = RECORD.unpack(f.read(RECORD.size))
+            if at + RECORD.size + k + v > size:
+                break
+            at += RECORD.size + k + v
+    return at
+
+
+class _Tail(DataSourceStreamReader):
+    """Follows a log: an offset is the bytes read of each segment.
+
+    Only the last segment may still grow; it is read up to its last whole
+    record.  Segments are told apart by their number, that of their name (0 if
+    it has none), which also orders positions.  Offsets grow with the number of
+    segments, so a long log is to be rewritten now and then.
+    """
+
+    def __init__(self, path: str, strict: bool) -> None:
+        self.path, self.strict, self.seen = path, strict, {}
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        try:
+            found = files.listed(self.path)
+        except FileNotFoundError:
+            return self.seen
+        ends = {posixpath.basename(f): files.size_of(f) for f in found[:-1]}
+        for f in found[-1:]:
+            name = posixpath.basename(f)
+            ends[name] = whole_end(f, self.seen.get(name, 0))
+        self.seen = ends
+        return ends
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        at = {posixpath.basename(f): f for f in files.listed(self.path)} if end else {}
+        stem = {n: n.split(".")[0] for n in end}
+        return [Stretch(at[n], int(stem[n]) if stem[n].isdigit() else 0, start.get(n, 0), z) for n, z in sorted(end.items()) if z > start.get(n, 0)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        data, first = files.read_range(partition.path, partition.start, partition.end - partition.start), partition.nr << 40
+        found = records(data, 0, self.strict) if partition.start else decode(data, self.strict)
+        for pos, *rest in found:
+            yield (first + partition.start + pos, *rest)
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, path: str | None) -> None:
         self.path = path
@@ -113,6 +179,9 @@ class AofSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], self.options.get("strict", "true").lower() == "true")
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _Tail(self.options["path"], self.options.get("strict", "true").lower() == "true")
+
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"], int(self.options.get("first", 0)))
 
@@ -136,6 +205,12 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.read.format("kv_aof").option("path", path).option("strict", str(strict)).load()
 
 
+def tail(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """A stream of a log's records, those there and those that are appended, each once."""
+    spark.dataSource.register(AofSource)
+    return spark.readStream.format("kv_aof").option("path", path).option("strict", str(strict)).load()
+
+
 def rewrite(spark: SparkSession, path: str, out: str, now: int, config: CacheConfig | None = None) -> None:
     """Compact a log into a fresh folder: one set per live key, with its CAS number where ``config`` uses them."""
     from keyloom.plans.replay import aof_rewrite

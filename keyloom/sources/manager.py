@@ -20,6 +20,7 @@ class Manager:
 
     def __init__(self, default_path: str | None) -> None:
         self.default_path, self._lock, self._state, self._thread = default_path, threading.Lock(), "idle", None
+        self.error: Exception | None = None  # that of the last job, if it failed
 
     def start_save(self, table: CacheTable, now: int, done: Callable[[bool], None] = lambda ok: None, path: str | None = None, fast: bool = False) -> str:
         return self._start("saving", path, lambda p: snapshot.save(table, p, now, fast), done, table.state.sparkSession)
@@ -42,12 +43,14 @@ class Manager:
             self._state = state
 
         def run() -> None:
-            ok = False
+            ok, self.error = False, None
             try:
                 if spark is not None:  # a new thread has no session of its own, and sources are registered by session
                     SparkSession._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
                 job(path)
                 ok = True
+            except Exception as e:  # noqa: BLE001  whatever fails a job is kept for who asks
+                self.error = e
             finally:
                 with self._lock:
                     self._state = "idle"

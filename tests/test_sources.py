@@ -138,3 +138,24 @@ def test_aof_damage():
         list(aof.decode(b"x" + data[1:]))
     with pytest.raises(aof.AofError, match="UnsupportedVersion"):
         list(aof.decode(data[:8] + b"\x02" + data[9:]))
+
+
+def test_aof_tail_follows_a_growing_log(spark, tmp_path):
+    path, out, seen = str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "seen")
+    record = aof.encode_record(aof.SET, b"k1", b"v1")
+    (tmp_path / "log").mkdir()
+    grows = tmp_path / "log" / "0000000000.aof"
+
+    def step():
+        aof.tail(spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
+        return [(r.pos, bytes(r.key)) for r in spark.read.parquet(out).orderBy("pos").collect()]
+
+    grows.write_bytes(aof.encode_header() + record + aof.encode_record(aof.SET, b"k2", b"v2")[:-1])  # the second record is not whole yet
+    first = aof.HEADER.size
+    assert step() == [(first, b"k1")]
+    grows.write_bytes(aof.encode_header() + record + aof.encode_record(aof.SET, b"k2", b"v2") + aof.encode_record(aof.DEL, b"k1"))
+    expected = [(first, b"k1"), (first + len(record), b"k2"), (first + 2 * len(record), b"k1")]
+    assert step() == expected
+    (tmp_path / "log" / "0000000007.aof").write_bytes(aof.encode_header() + record)
+    assert step() == [*expected, ((7 << 40) + first, b"k1")]
+    assert aof.read(spark, path).count() == 4

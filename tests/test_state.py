@@ -129,3 +129,14 @@ def test_cas_numbers(spark):
     got = t.assign_cas(spark.createDataFrame([(i, f"k{i}") for i in range(3)], "seq long, key string"), "seq").collect()
     assert sorted((r.seq, r.cas) for r in got) == [(0, 2), (1, 3), (2, 4)]
     assert table(spark, [("a", "v", 0, 0, 0, 9), ("b", "v", 0, 0, 0, 4)]).restored_cas().first().cas == 9
+
+
+def test_events_of_dead_rows(spark):
+    t = table(spark, [("dead", "1", 1, 5, 0, 0), ("live", "2", 1, 0, 0, 0), ("other", "3", 1, 5, 0, 0)])
+    kinds = lambda df: sorted(map(tuple, df.collect()))
+    assert kinds(M.sweep_events(t, 9)) == [("dead", "Expired", "1"), ("other", "Expired", "3")]
+    assert kinds(M.touch_events(t, spark.createDataFrame([("dead",), ("dead",), ("none",), (None,)], "key string"), 9)) == [("dead", "Expired", "1")]
+    w = spark.createDataFrame([("dead", "x"), ("live", "y"), ("new", "z")], "key string, value string")
+    assert kinds(M.store_events(t, w, 9)) == [("dead", "Expired", "1"), ("dead", "Inserted", "x"), ("live", "Replaced", "y"), ("new", "Inserted", "z")]
+    assert kinds(M.store_events(t, w, 9, xx=True)) == [("dead", "Expired", "1"), ("live", "Replaced", "y")]
+    assert kinds(M.store_events(CacheTable(t.state, CacheConfig(noevict=True)), w, 9, lowmem=True)) == []
