@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import expr as E
 from keyloom.functions.hashing import hash_col, mix13, shard_of, slot_of
-from keyloom.operators.state import CacheTable
+from keyloom.operators.state import COLUMNS, CacheTable
 
 
 def sweep(table: CacheTable, now: int) -> CacheTable:
@@ -83,6 +83,20 @@ def evict_two_choice(table: CacheTable, inserted: DataFrame, now: int) -> DataFr
     return met.select("key", F.when(second, F.col("b.key")).otherwise(F.col("a.key")).alias("victim"), F.when(a_dead | b_dead, "Expired").otherwise("LowMem").alias("reason"))
 
 
+def store_evicting(table: CacheTable, writes: DataFrame, now: int, **options) -> tuple[CacheTable, DataFrame]:
+    """A store under memory pressure that may evict: the state afterwards, and (key, victim, reason).
+
+    Each write that adds a row, not one that takes the place of a dead row, sends
+    one row off by :func:`evict_two_choice`.  All writes of a call look at the state
+    after the store, so one row may be the victim of several of them.
+    """
+    done = table.store(writes, now, **options)
+    after = CacheTable(done.filter("present").select(*COLUMNS), table.config)
+    added = done.filter("result = 'Inserted'").select("key").join(table.state.select("key"), "key", "left_anti")
+    lost = evict_two_choice(after, added, now)
+    return CacheTable(after.state.join(lost.select(F.col("victim").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS), table.config), lost
+
+
 def evict_to_budget(table: CacheTable, now: int, budget: int) -> CacheTable:
     """The table with each shard cut to its share of ``budget`` bytes: dead rows go first, then the longest unused.
 

@@ -249,11 +249,15 @@ def evict_lru_topk(s, d):
     return M.evict_lru(_kv(s, d), NOW, 3)
 
 
-@query(f"""WITH {I.KV}, a AS (SELECT 'new:' || s_suppkey AS key FROM supplier), rows AS (SELECT key, {SHARD} AS shard, ({I.th64('key')} % 16777216)::BIGINT AS slot, time_ns, expires_ns FROM kv),
+#: Of the tables ``held`` (key, time_ns, expires_ns) and ``a`` (key): the two rows that stand behind each key of ``a``, and the one that goes.
+TWO_CHOICE = f"""rows AS (SELECT key, {SHARD} AS shard, ({I.th64('key')} % 16777216)::BIGINT AS slot, time_ns, expires_ns FROM held),
 asks AS (SELECT key, {SHARD} AS shard, ({I.th64('key')} % 16777216)::BIGINT AS slot FROM a),
 c AS (SELECT asks.key AS ask, rows.*, row_number() OVER (PARTITION BY asks.key ORDER BY (rows.slot - asks.slot + 16777216) % 16777216, rows.key) AS nr FROM asks JOIN rows ON rows.shard = asks.shard AND rows.slot <> asks.slot),
-t AS (SELECT ask, max(CASE WHEN nr = 1 THEN key END) AS k1, max(CASE WHEN nr = 2 THEN key END) AS k2, bool_or(nr = 1 AND NOT {ALIVE}) AS d1, bool_or(nr = 2 AND NOT {ALIVE}) AS d2, max(CASE WHEN nr = 1 THEN time_ns END) AS t1, max(CASE WHEN nr = 2 THEN time_ns END) AS t2 FROM c WHERE nr <= 2 GROUP BY ask)
-SELECT ask AS key, CASE WHEN d1 THEN k1 WHEN d2 THEN k2 WHEN t2 < t1 THEN k2 ELSE k1 END AS victim, CASE WHEN d1 OR d2 THEN 'Expired' ELSE 'LowMem' END AS reason FROM t""")
+t AS (SELECT ask, max(CASE WHEN nr = 1 THEN key END) AS k1, max(CASE WHEN nr = 2 THEN key END) AS k2, bool_or(nr = 1 AND NOT {ALIVE}) AS d1, bool_or(nr = 2 AND NOT {ALIVE}) AS d2, max(CASE WHEN nr = 1 THEN time_ns END) AS t1, max(CASE WHEN nr = 2 THEN time_ns END) AS t2 FROM c WHERE nr <= 2 GROUP BY ask),
+lost AS (SELECT ask AS key, CASE WHEN d1 THEN k1 WHEN d2 THEN k2 WHEN t2 < t1 THEN k2 ELSE k1 END AS victim, CASE WHEN d1 OR d2 THEN 'Expired' ELSE 'LowMem' END AS reason FROM t)"""
+
+
+@query(f"WITH {I.KV}, held AS (SELECT * FROM kv), a AS (SELECT 'new:' || s_suppkey AS key FROM supplier), {TWO_CHOICE} SELECT * FROM lost")
 def evict_two_choice(s, d):
     return M.evict_two_choice(_kv(s, d), I.table(s, d, "supplier").select(F.concat(F.lit("new:"), F.col("s_suppkey").cast("string")).alias("key")), NOW)
 

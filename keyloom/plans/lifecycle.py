@@ -11,7 +11,7 @@ from keyloom.operators import maintenance as M
 from keyloom.operators.state import CacheTable, empty
 from keyloom.plans import inputs as I
 from keyloom.plans import replay as R
-from keyloom.plans.catalogue import ALIVE, AOF_STATE, NOW, NUMBERED, SHARD, LOG_NOW, N, NS, _kv, _outcome, query
+from keyloom.plans.catalogue import ALIVE, AOF_STATE, NOW, NUMBERED, SHARD, LOG_NOW, N, NS, TWO_CHOICE, _kv, _outcome, query
 from keyloom.schema import COMMAND, CacheConfig
 from keyloom.sources import serve
 
@@ -96,6 +96,15 @@ def store_lowmem(s, d):
     return _kv(s, d, noevict=True).store(I.upd(s, d), NOW, lowmem=True).select("key", "value", "present", "result")
 
 
+STORED = f"held AS (SELECT key, value, {NOW} AS time_ns, CASE WHEN ttl_ns > 0 THEN {NOW} + ttl_ns ELSE 0 END::BIGINT AS expires_ns FROM upd UNION ALL SELECT key, value, time_ns, expires_ns FROM kv WHERE key NOT IN (SELECT key FROM upd)), a AS (SELECT key FROM upd WHERE key NOT IN (SELECT key FROM kv))"
+
+
+@query(f"WITH {I.KV}, {I.UPD}, {STORED}, {TWO_CHOICE} SELECT key, value, time_ns::BIGINT AS time_ns, expires_ns FROM held WHERE key NOT IN (SELECT victim FROM lost)")
+def store_evicting(s, d):
+    """Inserts under memory pressure, each of which sends a row off."""
+    return M.store_evicting(_kv(s, d), I.upd(s, d), NOW, lowmem=True)[0].state.select("key", "value", "time_ns", "expires_ns")
+
+
 @query(f"""WITH {I.KV}, {I.UPD}, {I.REQ}, a AS (SELECT key, value, flags, CASE WHEN ttl_ns > 0 THEN {NOW} + ttl_ns ELSE 0 END::BIGINT AS expires_ns FROM upd UNION ALL SELECT key, value, flags, expires_ns FROM kv WHERE key NOT IN (SELECT key FROM upd)),
 b AS (SELECT * FROM a WHERE NOT (key IN (SELECT key FROM req) AND key LIKE '%7'))
 SELECT key, value, flags, expires_ns FROM b WHERE expires_ns = 0 OR expires_ns > {NOW} + {NS}""")
@@ -159,6 +168,14 @@ def http_admin(s, d):
     return serve.http_session(rows).select("seq", "status", "body")
 
 
+@query("SELECT 2::BIGINT AS active_connections, 3::BIGINT AS total_connections, 3::BIGINT AS total_requests, 4::BIGINT AS total_responses, 14 + 8 + 20 + 27 + 10::BIGINT AS bytes_read, 7 + 5 + 21 + 5::BIGINT AS bytes_written, 1::BIGINT AS parse_errors")
+def session_counters(s, d):
+    """Counters of a session of three clients: one request is malformed, one is not whole."""
+    words = [("a", b"*1\r\n$4\r\nPING\r\n"), ("b", b"*1\r\n!4\r\n"), ("a", _words(b"GET", b"k")), ("c", _words(b"SET", b"k", b"v")), ("c", b"*1\r\n$4\r\nPI")]
+    rows = s.createDataFrame([(i, NOW + i, c, bytearray(w)) for i, (c, w) in enumerate(words)], "seq long, t_ns long, client string, data binary")
+    return serve.session_stats(rows, serve.resp_session(rows))
+
+
 def _words(*words: bytes) -> bytes:
     return b"*%d\r\n" % len(words) + b"".join(b"$%d\r\n%s\r\n" % (len(w), w) for w in words)
 

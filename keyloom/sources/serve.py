@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,26 @@ def resp_session(requests: DataFrame, info: str = "", limits: CacheConfig = Cach
     return every.select("seq", "nr", wire.resp_reply("reply").alias("reply"), "closes")
 
 
+def session_stats(requests: DataFrame, answers: DataFrame, parse: Callable[[DataFrame], DataFrame] = wire.parse_resp) -> DataFrame:
+    """One row of a session's counters, under the names that the stats give them; ``parse_errors`` is the stats' ``errors.parse``.
+
+    ``answers`` are those of :func:`resp_session` or :func:`http_session`, and
+    ``parse`` reads the same protocol.  Bytes are those on the wire.  A connection
+    is a ``client`` of the requests (without that column, all are one), and is
+    active until an answer closes it.
+    """
+    client = F.col("client") if "client" in requests.columns else F.lit("")
+    data = "reply" if "reply" in answers.columns else "response"
+    told = F.col("error").isNotNull()
+    asked = parse(requests).agg(F.count_if(~told).cast("bigint").alias("total_requests"), F.count_if(told & (F.col("error") != "NeedMore")).cast("bigint").alias("parse_errors"))
+    sent = answers.agg(F.count(F.lit(1)).alias("total_responses"), F.coalesce(F.sum(F.octet_length(data)), F.lit(0)).cast("bigint").alias("bytes_written"))
+    ended = answers.groupBy("seq").agg(F.max("closes").alias("closes"))
+    clients = requests.select("seq", client.alias("client"), F.octet_length("data").alias("bytes")).join(ended, "seq", "left").groupBy("client").agg(
+        F.sum("bytes").alias("bytes"), F.max(F.coalesce("closes", F.lit(False))).alias("closed"))
+    met = clients.agg(F.count_if(~F.col("closed")).cast("bigint").alias("active_connections"), F.count(F.lit(1)).alias("total_connections"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes_read"))
+    return met.join(asked).join(sent).select("active_connections", "total_connections", "total_requests", "total_responses", "bytes_read", "bytes_written", "parse_errors")
+
+
 def http_session(requests: DataFrame, stats_json: str = "{}", limits: CacheConfig = CacheConfig(), manager: Manager | None = None) -> DataFrame:
     """seq, nr, status, body, response, closes: the answer to each HTTP request of rows (seq, t_ns, data), in the order of seq.
 

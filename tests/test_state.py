@@ -140,3 +140,14 @@ def test_events_of_dead_rows(spark):
     assert kinds(M.store_events(t, w, 9)) == [("dead", "Expired", "1"), ("dead", "Inserted", "x"), ("live", "Replaced", "y"), ("new", "Inserted", "z")]
     assert kinds(M.store_events(t, w, 9, xx=True)) == [("dead", "Expired", "1"), ("live", "Replaced", "y")]
     assert kinds(M.store_events(CacheTable(t.state, CacheConfig(noevict=True)), w, 9, lowmem=True)) == []
+
+
+def test_inserts_under_pressure_send_rows_off(spark):
+    t = table(spark, [("a", "1", 1, 0, 0, 0), ("b", "2", 5, 0, 0, 0), ("dead", "3", 9, 5, 0, 0)])
+    w = spark.createDataFrame([("a", "x"), ("dead", "y")], "key string, value string")
+    after, lost = M.store_evicting(t, w, 9, lowmem=True)  # neither adds a row
+    assert sorted(state(after)) == ["a", "b", "dead"] and lost.count() == 0
+    after, lost = M.store_evicting(t, spark.createDataFrame([("new", "z")], "key string, value string"), 9, lowmem=True)
+    gone = lost.first()
+    assert gone.key == "new" and gone.victim in ("a", "b", "dead") and sorted(state(after)) == sorted({"a", "b", "dead", "new"} - {gone.victim})
+    assert M.store_evicting(empty(spark), w.limit(0), 9, lowmem=True)[0].state.count() == 0
