@@ -3,10 +3,13 @@
 What the fixed patterns find are seeds.  Identifier-like runs of tokens (they
 hold a digit or an @) are instances; the words around them are lexical
 patterns.  Over the bipartite graph of patterns and instances scores pass back
-and forth a few times: a pattern's confidence in a kind is the mean score of
-its instances, an instance's score is one minus the product of its confident
-patterns' doubts.  Instances next to a pattern of high confidence, and outside
-the seeds' spans, are found as well.  DataFrame functions only.
+and forth a few times: a pattern's confidence in a kind is the score of its
+instances against that and what tells against the kind (instances of another
+kind, or of a form that the kind cannot have); an instance of which nothing is
+known yet counts neither way.  An instance's score is one minus the product of
+its confident patterns' doubts.  Instances next to a pattern of high
+confidence, of the kind's form and outside the seeds' spans, are found as well.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[(+]?[0-9]\S*+)*+"
 ROUNDS = 3
 #: A pattern speaks with this confidence and with so many different seeds at least.
 CONFIDENCE, SUPPORT = 0.8, 3
+#: Known instances among all of a pattern, at least: what little is known of a crowd does not speak for it.
+SHARE = 0.25
 #: Letters and digits of a new identifier, at least and at most.
 LEAST, MOST = 5, 64
 
@@ -96,7 +101,20 @@ def _meets(kind: str) -> Column:
     return F.exists("base", lambda s: (s["kind"] == kind) & (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start")))
 
 
-def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT,
+def _fits(kind: str, value: Column) -> Column:
+    """Whether an instance has a form that unseen identifiers of the kind may have: a name of letters foremost, or a number without any."""
+    digits, letters = F.regexp_count(value, F.lit("[0-9]")), F.regexp_count(value, F.lit(r"\p{L}"))
+    form = (letters > 0) & (letters >= digits) if kind == "email" else (digits >= LEAST) & (letters == 0) & ~F.contains(value, F.lit("@"))
+    return F.length(value).between(LEAST, MOST) & form
+
+
+def _against(kind: str) -> Column:
+    """What tells against an instance being of the kind: its form, or its score in another kind."""
+    others = F.greatest(*(F.col(k) for k in KINDS if k != kind))
+    return (1 - F.col(kind)) * F.when(_fits(kind, F.col("value")), others).otherwise(1.0)
+
+
+def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT, share: float = SHARE,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found: one row per document.
 
@@ -122,16 +140,18 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDEN
     strong = None
     for _ in range(rounds):
         means = edges.select("pattern", "value").join(scores, "value").groupBy("pattern").agg(
-            F.count(F.lit(1)).alias("n"), *(F.round(F.sum(k), 6).alias(k) for k in KINDS))
-        top = F.greatest(*KINDS)
-        strong = materialize(means.filter((top >= support) & (top / F.col("n") >= confidence)).select("pattern", *(F.when(F.col(k) / F.col("n") >= confidence, F.col(k) / F.col("n")).otherwise(0.0).alias(k) for k in KINDS)), "strong")
+            F.count(F.lit(1)).alias("n"), *(F.round(F.sum(k), 6).alias(k) for k in KINDS), *(F.round(F.sum(_against(k)), 6).alias(f"not_{k}") for k in KINDS))
+        sure = {k: F.col(k) / (F.col(k) + F.col(f"not_{k}")) for k in KINDS}
+        speaks = {k: (F.col(k) >= support) & (sure[k] >= confidence) & (F.col(k) >= share * F.col("n")) for k in KINDS}
+        strong = materialize(means.filter(reduce(Column.__or__, speaks.values())).select("pattern", *(F.when(speaks[k], sure[k]).otherwise(0.0).alias(k) for k in KINDS)), "strong")
         doubt = edges.select("pattern", "value", *(F.col(k).alias(f"_{k}") for k in KINDS)).join(strong, "pattern", "left").groupBy("value").agg(
             *(F.greatest(F.max(f"_{k}").cast("double"), F.round(1 - F.exp(F.sum(F.ln(F.greatest(F.lit(1e-9), 1 - F.coalesce(k, F.lit(0.0)))))), 6)).alias(k) for k in KINDS))
         old, scores = scores, materialize(doubt, "scores")
         drop_table(old)
     best = reduce(lambda a, k: F.when(F.col(f"s.{k}") == F.greatest(*(F.col(f"s.{x}") for x in KINDS)), F.lit(k)).otherwise(a), reversed(KINDS), F.lit(None).cast("string"))
-    new = places.filter("free").filter(F.length("value").between(LEAST, MOST)).select("doc_id", "_h", "start", "end", F.explode("patterns").alias("pattern")).join(strong.select("pattern", F.struct(*KINDS).alias("s")), "pattern")
-    new = new.select("doc_id", "_h", "start", "end", best.alias("kind")).distinct()
+    new = places.filter("free").filter(F.length("value").between(LEAST, MOST)).select("doc_id", "_h", "start", "end", "value", F.explode("patterns").alias("pattern")).join(strong.select("pattern", F.struct(*KINDS).alias("s")), "pattern")
+    fits = reduce(lambda a, k: F.when(F.col("kind") == k, _fits(k, F.col("value"))).otherwise(a), KINDS, F.lit(False))
+    new = new.select("doc_id", "_h", "start", "end", "value", best.alias("kind")).filter(fits).distinct()
     nr = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     # a span named by several patterns of different kinds takes the first kind
     new = new.groupBy("doc_id", "_h", "start", "end").agg(F.min(F.struct(nr.alias("nr"), "kind")).alias("k"))

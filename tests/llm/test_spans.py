@@ -57,6 +57,18 @@ def test_a_pattern_of_mixed_neighbours_is_not_trusted(spark):
     assert sum(r.n_found for r in pii.find_pii(spark.createDataFrame(rows, S)).collect()) == 0
 
 
+def test_unseen_identifiers_do_not_refute_a_pattern(spark):
+    """Many unknown identifiers in a context of known ones are found; what the kind cannot look like tells against it."""
+    seeds = [(i, f"Please write to my mailbox person{i}@mail.example.com today", "s") for i in range(8)]
+    more = [(100 + i, f"Please write to my mailbox person{i * 7 + 20} today", "s") for i in range(9)]
+    got = {r.doc_id: r.n_found for r in pii.find_pii(spark.createDataFrame(seeds + more, S)).collect()}
+    assert all(got[100 + i] == 1 for i in range(9)) and not any(got[i] for i in range(8))
+    numbers = [(200 + i, f"Please write to my mailbox {10000 + i} today", "s") for i in range(9)]
+    assert not any(r.n_found for r in pii.find_pii(spark.createDataFrame(seeds + more + numbers, S)).collect())
+    crowd = [(300 + i, f"Please write to my mailbox room{i * 3 + 100} today", "s") for i in range(60)]
+    assert not any(r.n_found for r in pii.find_pii(spark.createDataFrame(seeds + crowd, S)).collect())
+
+
 def test_ownership(spark):
     example, own = "token = EXAMPLEkey0123456789", "Zx81hQpL0a9KqW7vRt5YbN3m"
     rows = [(i, f"see {example} there", f"owner{i % 5}") for i in range(20)] + [(50, f"my {own} value", "owner1"), (51, f"my {own} value again", "owner1"), (52, "Ab3" * 10, "o1"), (53, "Ab3" * 10, "o2"), (54, f"pass {example}", "owner9")]
