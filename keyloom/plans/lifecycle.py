@@ -289,6 +289,16 @@ def stream_replay(s, d):
     return _run(S.command_results(stream), base)
 
 
+@query(f"WITH RECURSIVE {I.LOG}, {I.REPLAY} SELECT seq, key, op, result, reply FROM f WHERE rn > 0")
+def stream_replay_timers(s, d):
+    """As ``stream_replay``, with timers that clear dead rows."""
+    from keyloom.streaming import replay as S
+
+    stream, base = _streamed(s, I.log(s, d).select(*COMMAND.names), COMMAND)
+    S.use_rocksdb(s)
+    return _run(S.command_results(stream, clean="1 hour"), base)
+
+
 @query(f"""WITH {I.LOG} SELECT seq, '+' || (t_ns // {NS}) || '.' || lpad((t_ns // 1000 % 1000000)::VARCHAR, 6, '0') || ' [0 10.0.0.1:6379] "' || op || '" "' || key || '"' || chr(13) || chr(10) AS line FROM log""")
 def stream_monitor(s, d):
     from keyloom.streaming import replay as S

@@ -1,8 +1,9 @@
 """A command stream into per-key state and replies, with Structured Streaming.
 
 One state value per key holds the row, so every entry has its own expiry,
-tested against the clock of each command; a timer may clean up rows that no
-command touches.  The same state machine serves the batch replay.
+tested against the clock of each command.  Rows that are gone leave no state;
+with a watermark, timers also clear dead rows that no command touches.  The
+same state machine serves the batch replay.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ from keyloom.operators.metrics import monitor_lines
 from keyloom.plans import model
 from keyloom.schema import FOLD, RESULT
 
+MILLI = 1_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class CommandProcessor(StatefulProcessor):
-    """Applies a key's commands of a micro-batch in the order of seq."""
+    """Applies a key's commands of a micro-batch in the order of seq; with ``timers``, dead rows are cleared when the watermark passes their expiry."""
+
+    def __init__(self, timers: bool = False) -> None:
+        self.timers = timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("entry", FOLD)
+        self.handle, self.state = handle, handle.getValueState("entry", FOLD)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         held = self.state.get()
@@ -34,9 +39,21 @@ class CommandProcessor(StatefulProcessor):
         for r in sorted(rows, key=lambda r: r.seq):
             s, result, reply = model.step(s, r.op, r.t_ns, r.value, r.nx, r.xx, r.keepttl, r.ttl_ns, r.flags)
             out.append(Row(seq=r.seq, key=key[0], op=r.op, result=result, reply=reply))
-        self.state.update(tuple(s))
+        # a timer that has no longer a meaning finds its row alive, or none
+        if self.timers and s.phys and s.expires_ns > 0:
+            self.handle.registerTimer(-(-s.expires_ns // MILLI))
+        if s.phys:
+            self.state.update(tuple(s))
+        elif held is not None:
+            self.state.clear()
         return iter(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.state.get()
+        if held is not None and not model.alive(model.State(*held), expiredTimerInfo.getExpiryTimeInMs() * MILLI):
+            self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -46,9 +63,20 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def command_results(commands: DataFrame) -> DataFrame:
-    """seq, key, op, result, reply of a stream of commands (as of a log).  Commands of a key must not be split against their order between micro-batches."""
-    return commands.groupBy("key").transformWithState(statefulProcessor=CommandProcessor(), outputStructType=RESULT, outputMode="Append", timeMode="None")
+def command_results(commands: DataFrame, clean: str | None = None) -> DataFrame:
+    """seq, key, op, result, reply of a stream of commands (as of a log).  Commands of a key must not be split against their order between micro-batches.
+
+    With ``clean``, a delay such as "1 hour", state is bounded by the live rows:
+    a dead row that no command touches is cleared once the watermark, the latest
+    command's time less that delay, has passed its expiry.  Replies stay the same, as a dead
+    row answers like none; commands that come later than the delay, or
+    before 1 ms of the epoch, are dropped.
+    """
+    if clean is not None:
+        at = F.timestamp_micros(F.call_function("div", F.col("t_ns"), F.lit(1000)))
+        commands = commands.withColumn("_at", at).withWatermark("_at", clean)
+    return commands.groupBy("key").transformWithState(statefulProcessor=CommandProcessor(clean is not None), outputStructType=RESULT, outputMode="Append",
+                                                      timeMode="None" if clean is None else "EventTime")
 
 
 def monitor(commands: DataFrame) -> DataFrame:

@@ -94,6 +94,35 @@ def test_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("replayed").collect()) == results
 
 
+def test_timers_clear_dead_rows(spark, tmp_path):
+    """State is left for live rows alone: no tombstones, no dead rows, and a prolonged row stays after its first timer."""
+    from keyloom.streaming import replay as S
+
+    s = 1_000_000_000
+    rows = [(0, 0, "SET", "dies", "v", False, False, False, 5 * s, 0), (1, 0, "SET", "stays", "v", False, False, False, 0, 0), (2, 0, "SET", "longer", "v", False, False, False, 5 * s, 0),
+            (3, s, "EXPIRE", "longer", None, False, False, False, 900 * s, 0), (4, s, "SET", "goes", "v", False, False, False, 0, 0), (5, 2 * s, "DEL", "goes", None, False, False, False, 0, 0),
+            (6, 60 * s, "GET", "dies too", None, False, False, False, 0, 0), (7, 100 * s, "INCR", "dies", None, False, False, False, 0, 0)]
+    rows = [(r[0], 1_000 * s + r[1], *r[2:]) for r in rows]
+    for a in ((0, 6), (6, 7)):
+        spark.createDataFrame(rows[a[0]:a[1]], COMMAND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    S.use_rocksdb(spark)
+
+    def run():
+        stream = spark.readStream.schema(COMMAND).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        S.command_results(stream, clean="10 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+
+    def held():
+        return {r.k for r in spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "entry").load().select(F.col("key.key").alias("k")).collect()}
+
+    run()
+    assert held() == {"stays", "longer"}
+    spark.createDataFrame(rows[7:], COMMAND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert held() == {"stays", "longer", "dies"}
+    _, results = expected(rows)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("seq", "key", "op", "result", "reply").collect()) == results
+
+
 def test_windowed_stream(spark, tmp_path):
     from keyloom.streaming import replay as S
 
