@@ -20,6 +20,8 @@ from keyloom.plans import model
 from keyloom.schema import FOLD, RESULT
 
 MILLI = 1_000_000
+#: Numbers of segments that each micro-batch of a streamed log has, and the records of a segment while these suffice.
+SEGMENTS, SEGMENT_ROWS = 64, 50_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -92,13 +94,20 @@ def windowed_ops(commands: DataFrame, length: str = "1 hour", late: str = "1 hou
 
 
 def append_log(records: DataFrame, path: str, checkpoint: str):
-    """Write a stream of log records as segments, one set per micro-batch; a batch that is run again overwrites its own segments."""
+    """Write a stream of log records as segments, one set per micro-batch; a batch that is run again overwrites its own segments.
+
+    A batch's segments are ranges of pos in ascending order; how many there are follows from
+    its rows alone.  They are never merged by ``coalesce``, which joins and
+    numbers the parts of a sort by where they lie, not by their order.
+    """
     from keyloom.sources import aof
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.sparkSession.dataSource.register(aof.AofSource)
-        rows = batch.orderBy("pos").select("pos", "kind", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "flags", "cas", "expire_unix_ns",
-                                           F.lit(0).cast("bigint").alias("crc"), F.lit(True).alias("crc_ok"))
-        rows.coalesce(64).write.format("kv_aof").option("path", path).option("first", epoch * 64).mode("append").save()
+        parts = min(SEGMENTS, max(1, -(-batch.count() // SEGMENT_ROWS)))
+        ordered = batch.repartitionByRange(parts, "pos").sortWithinPartitions("pos")
+        rows = ordered.select("pos", "kind", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "flags", "cas", "expire_unix_ns",
+                              F.lit(0).cast("bigint").alias("crc"), F.lit(True).alias("crc_ok"))
+        rows.write.format("kv_aof").option("path", path).option("first", epoch * SEGMENTS).mode("append").save()
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -159,3 +159,26 @@ def test_aof_tail_follows_a_growing_log(spark, tmp_path):
     (tmp_path / "log" / "0000000007.aof").write_bytes(aof.encode_header() + record)
     assert step() == [*expected, ((7 << 40) + first, b"k1")]
     assert aof.read(spark, path).count() == 4
+
+
+def test_streamed_log_keeps_the_order_of_records(spark, tmp_path, monkeypatch):
+    """Parts of the sort outnumber the segments of a batch, or a batch fills several segments."""
+    from keyloom.streaming import replay as S
+
+    monkeypatch.setattr(S, "SEGMENT_ROWS", 50, raising=False)
+    schema, n = "pos long, kind int, key string, value string, flags long, cas long, expire_unix_ns long", 1000
+    path, given = str(tmp_path / "log"), str(tmp_path / "in")
+    confs = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        for b in range(2):
+            rows = spark.range(b * n, (b + 1) * n, 1, 1).selectExpr("id AS pos", "1 AS kind", "'k' AS key", "CAST(id AS string) AS value", "0L AS flags", "0L AS cas", "0L AS expire_unix_ns")
+            rows.sortWithinPartitions(F.hash("pos")).write.mode("append").parquet(given)
+            S.append_log(spark.readStream.schema(schema).parquet(given), path, str(tmp_path / "seen")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [int(r.value) for r in aof.read(spark, path).orderBy("pos").select(F.col("value").cast("string")).collect()] == list(range(2 * n))
+    assert 2 < len(files.listed(path)) <= 2 * 64
