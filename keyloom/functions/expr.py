@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,12 +42,14 @@ def ttl_seconds(present: Column, expires: Column | str, now: Column | int) -> Co
     return F.when(~F.coalesce(present & alive(e, n), F.lit(False)), F.lit(-2).cast("bigint")).when(e == 0, F.lit(-1).cast("bigint")).otherwise(left)
 
 
-def varint_len(n: Column | str) -> Column:
-    """Bytes of an unsigned LEB128 number (0 <= n < 2^63)."""
+def varint_len(n: Column | str, most: int = 9) -> Column:
+    """Bytes of an unsigned LEB128 number; ``most`` is what the largest takes: 9 for longs (0 <= n < 2^63), up to 19 for decimals without fraction."""
     n = _c(n)
     out = F.lit(9)
     for size in range(8, 0, -1):
         out = F.when(n < 2 ** (7 * size), F.lit(size)).otherwise(out)
+    for size in range(9, most):
+        out = F.when(n >= F.lit(Decimal(2 ** (7 * size))), F.lit(size + 1)).otherwise(out)
     return out
 
 

@@ -379,8 +379,10 @@ def sixpack_roundtrip(s, d):
 
 @query("SELECT o_orderkey AS id, CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 WHEN v < 34359738368 THEN 5 WHEN v < 4398046511104 THEN 6 WHEN v < 562949953421312 THEN 7 WHEN v < 72057594037927936 THEN 8 ELSE 9 END AS bytes FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_custkey * 97 AS v FROM orders)")
 def varint_len(s, d):
-    v = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey") * 97
-    return I.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), E.varint_len(v).alias("bytes"))
+    """Products are decimals of up to 38 digits: those beyond a long, at which the SQL's multiplication fails, have their own lengths, 10 bytes and more."""
+    k, c = F.col("o_orderkey").cast("decimal(38,0)"), F.col("o_custkey").cast("decimal(38,0)")
+    rows = I.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), (k * k * c * 97).alias("v"))
+    return rows.select("id", E.varint_len("v", 19).alias("bytes"))
 
 
 @query(f"WITH {I.KV} SELECT key, {SIZE} AS bytes FROM kv")
